@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: ASCII white space, as every contract here defines it; all else is a word character.
-SPACES = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
-
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,8 +54,11 @@ def plain_text(text: str | Column) -> Column:
 
 
 def one_space(text: str | Column) -> Column:
-    """Null counts as empty; every run of ASCII white space becomes one space."""
-    return F.regexp_replace(plain_text(text), SPACES, " ")
+    """Null counts as empty; every run of ASCII white space becomes one space. Bytes are replaced in place; only a text that then has a double space meets a pattern."""
+    out = plain_text(text)
+    for c in "\t\n\x0b\f\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " +", " ")).otherwise(out)
 
 
 def n_words(text: str | Column) -> Column:
