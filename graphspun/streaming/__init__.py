@@ -1 +1 @@
-
+"""The page manifest kept up to date from a stream of entities."""
