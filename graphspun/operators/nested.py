@@ -17,15 +17,15 @@ def in_order(rows: Column, width: int) -> Column:
     return F.transform(F.array_sort(rows), lambda x: x["row"])
 
 
-def collected(children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], name: str, distinct: bool = False) -> DataFrame:
-    """(key, name): the children of each key as a list of structs, sorted by `order`, nulls last, then by all fields."""
+def collected(children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], name: str, distinct: bool = True) -> DataFrame:
+    """(key, name): the children of each key as a list of structs, sorted by `order`, nulls last, then by all fields; an edge that is there twice counts once."""
     sort = [c for o in order for c in (F.col(o).isNull(), F.col(o))] + [F.col(f) for f in fields if f not in order]
     row = F.struct(*[s.alias(f"s{i}") for i, s in enumerate(sort)], F.struct(*fields).alias("row"))
     gather = F.collect_set if distinct else F.collect_list
     return children.where(F.col(key).isNotNull()).groupBy(key).agg(in_order(gather(row), len(sort)).alias(name))
 
 
-def expand(parents: DataFrame, key: str, children: DataFrame, child_key: str, order: Sequence[str], fields: Sequence[str], name: str, distinct: bool = False) -> DataFrame:
+def expand(parents: DataFrame, key: str, children: DataFrame, child_key: str, order: Sequence[str], fields: Sequence[str], name: str, distinct: bool = True) -> DataFrame:
     """`parents` with the list `name` of their children; an empty list where there are none."""
     kind = children.select(F.struct(*fields).alias("x")).schema["x"].dataType.simpleString()
     lists = collected(children.withColumn("_key", F.col(child_key)), "_key", order, fields, name, distinct)
