@@ -33,19 +33,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(release)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Removes every table that written() has made. Call it once the results that build on them are stored."""
+    """Removes every table that written() has made, once the results that build on them are stored; also called when Python ends."""
     while _written:
         spark, path = _written.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception as e:  # the session may be over; its folder then goes with it
-            print(f"graphspun: {path} was not removed: {type(e).__name__}")
+        if spark.sparkContext._jsc is None:  # stopped before; the shared folder's owner has to remove what is left
+            continue
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def plain_text(text: str | Column) -> Column:

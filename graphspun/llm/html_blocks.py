@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -27,6 +28,9 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|hidden|aria-label)\s*=?\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))""", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
+#: Of more open elements than this, a block's path has the innermost.
+DEPTH = 256
+
 #: Sizes of the hashed vectors: tag path, words; then plain measures.
 PATHS, WORDS, MEASURES = 256, 128, 8
 WIDTH = PATHS + WORDS + MEASURES
@@ -50,6 +54,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     links = linked = 0
     path: tuple[str, ...] = ()
+    count: Counter[str] = Counter()
     at, page = 0, page or ""
 
     def end() -> None:
@@ -60,8 +65,10 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, path
         if raw:
+            if not parts:
+                path = tuple(x for _, names in open_[-DEPTH:] for x in names)
             parts.append(html.unescape(raw) if "&" in raw else raw)
             if links:
                 linked += len(raw.strip())
@@ -73,22 +80,25 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if tag == "br":
-            parts.append(" ")
+            if parts:
+                parts.append(" ")
         elif tag in INLINE:
             if tag == "a":
                 links = 0 if m["close"] else 1
         else:
             end()
             if m["close"]:
-                if any(t == tag for t, _ in open_):
-                    while open_.pop()[0] != tag:
-                        pass
+                while count[tag]:
+                    last = open_.pop()[0]
+                    count[last] -= 1
+                    if last == tag:
+                        break
             else:
                 if tag in ENDS_P and open_ and open_[-1][0] == "p" or tag == "li" and open_ and open_[-1][0] == "li":
-                    open_.pop()
+                    count[open_.pop()[0]] -= 1
                 if tag not in VOID and not m["rest"].endswith("/"):
                     open_.append((tag, (tag, *_names(m["rest"]))))
-            path = tuple(x for _, names in open_ for x in names)
+                    count[tag] += 1
     say(page[at:])
     end()
     return out

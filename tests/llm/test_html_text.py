@@ -20,7 +20,9 @@ def test_blocks():
     assert texts("1 < 2 and <3 & more &am &copy; &#233;") == ["1 < 2 and <3 & more &am © é"]
     assert [b.path for b in blocks('<div id="postBody"><p>a<p class=x>b</div>c')] == [("div", ".post", ".body", "p"), ("div", ".post", ".body", "p", ".x"), ()]
     assert blocks("<p><a href=#>link</a> rest")[0].linked == 4
-    assert len(texts("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
+    assert [b.path for b in blocks("<div><p><br>a<br>b</p></div><br>c")] == [("div", "p"), ()]
+    deep = blocks("<div>" * 50_000 + "deep" + "</div>" * 50_000 + "</b></section>" * 50_000 + "end")
+    assert [(b.text, len(b.path)) for b in deep] == [("deep", 256), ("end", 0)]
 
 
 def test_gradients():
