@@ -46,9 +46,9 @@ class WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
         planes, now = [], ids
         for level in reversed(range(bits)):
-            one = (now >> level & 1).astype(bool)
+            one = (now & now.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            now = np.concatenate((now[~one], now[one]))
+            now = np.concatenate((now.compress(~one), now.compress(one)))
         return cls(planes, len(ids))
 
     def _bit(self, level: int) -> np.ndarray:
@@ -59,9 +59,9 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
             one, before = self._bit(level), np.empty_like(now)
-            zeros = self.n - int(one.sum())
-            before[~one] = now[:zeros]
-            before[one] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
+            ones, rest = np.flatnonzero(one), np.flatnonzero(~one)
+            before[rest] = now[: len(rest)]
+            before[ones] = now[len(rest) :] | now.dtype.type(1 << (self.bits - 1 - level))
             now = before
         return now
 
