@@ -58,8 +58,9 @@ SQL = {
     "period_detail": f"""
         WITH {_EVENTS}, {_EDGES}, {_PEOPLE},
              p AS (SELECT l_orderkey, count(*) AS n, min(name) AS first FROM people GROUP BY l_orderkey),
-             cells AS (SELECT * FROM (SELECT DISTINCT period FROM events), (SELECT DISTINCT year FROM events)),
-             f AS (SELECT period, year, count(*) AS n_events, sum(n) AS n_people, min(event) AS first_event, min(first) AS first_person FROM events LEFT JOIN p ON l_orderkey = event GROUP BY period, year)
+             cells AS (SELECT DISTINCT period, year FROM events),
+             open AS (SELECT * FROM events WHERE event IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey < 60)),
+             f AS (SELECT period, year, count(*) AS n_events, sum(n) AS n_people, min(event) AS first_event, min(first) AS first_person FROM open LEFT JOIN p ON l_orderkey = event GROUP BY period, year)
         SELECT period, year, coalesce(n_events, 0) AS n_events, CAST(coalesce(n_people, 0) AS BIGINT) AS n_people, first_event, first_person FROM cells LEFT JOIN f USING (period, year)""",
     "person_timeline": f"""
         WITH {_EVENTS}, {_EDGES}, {_PEOPLE}, {_VERSES}, {_ENDS},

@@ -106,9 +106,9 @@ def single_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def period_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Years of each period with the period's events of that year and their people; cells without events stay."""
-    events = _events(spark, d)
-    cells = events.select("period").distinct().crossJoin(events.select("year").distinct())  # a calendar of periods and years, both few
+    """Years of each period, and in each the period's open events with their people; years without one stay."""
+    cells = _events(spark, d).select("period", "year").distinct()
+    events = N.some(_events(spark, d), "event", read(spark, d, "orders").where("o_orderstatus = 'P' AND o_custkey < 60"), "o_orderkey")
     people = N.along(_edges(spark, d), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
     of_event = events.join(people.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_people"), F.min("s_name").alias("first_person")), F.col("event") == F.col("l_orderkey"), "left")
     filled = of_event.groupBy("period", "year").agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.sum("n_people"), F.lit(0)).alias("n_people"), F.min("event").alias("first_event"), F.min("first_person").alias("first_person"))
@@ -278,7 +278,12 @@ def search_flags(spark: SparkSession, d: str) -> DataFrame:
     people = has_more(S.found(read(spark, d, "customer"), q, ["c_name"]), order, 2)
     places = has_more(S.found(read(spark, d, "nation").select(F.col("n_name").alias("c_name"), F.col("n_nationkey").alias("c_custkey")), q, ["c_name"]), order, 2)
     verses = has_more(S.found(read(spark, d, "documents").select(F.col("text").alias("c_name"), F.col("doc_id").alias("c_custkey")), q, ["c_name"]), order[1:], 10)
-    rows = people.select(F.col("shown").alias("people"), F.col("more").alias("more_people")).crossJoin(places.select(F.col("shown").alias("places"))).crossJoin(verses.select(F.col("shown").alias("verses")))  # three single rows
+    hits = None
+    for kind, found in (("people", people), ("places", places), ("verses", verses)):
+        row = found.select(F.lit(kind).alias("kind"), "shown", "more")
+        hits = row if hits is None else hits.unionByName(row)
+    of = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
+    rows = hits.agg(*[of(k, "shown").alias(k) for k in ("people", "places", "verses")], of("people", "more").alias("more_people"))
     return rows.select("people", "places", "verses", "more_people", *[c.alias(n) for n, c in C.flags(F.col("verses"), F.col("people"), F.col("places"), F.lit(q)).items()])
 
 
