@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import plain_text
+from graphspun.llm.common import plain_text, written
 from graphspun.llm.tokens import count_tokens, version
 
 _SCHEMA = "digest binary, n_tokens long"
@@ -49,6 +49,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     texts.distinct().mapInArrow(count, _SCHEMA).write.mode("append").parquet(f"{cache_path}/{version(tokenizer_path)}")
-    counts = stored(spark, cache_path, tokenizer_path)
+    # Written, so that the join has a bare exchange on either side and the rows of one very common text can be split.
+    counts = written(stored(spark, cache_path, tokenizer_path), "token-counts")
     joined = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
