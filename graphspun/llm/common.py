@@ -73,6 +73,21 @@ def row_key(id_: Column, text_hash: Column) -> Column:
     return F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("-")), text_hash.cast("string"))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among `columns`, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, key: Column, kept: DataFrame, once: bool) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose key is in the column `key` of `kept`; with `once`, one row of each key."""
+    name = fresh(docs.columns, "_key")
+    out = docs.withColumn(name, key).join(kept.select(F.col("key").alias(name)).distinct(), name, "left_semi")
+    return (out.dropDuplicates([name]) if once else out).drop(name)
+
+
 def slices(n: int) -> int:
     """In how many slices n ordered rows are cut for running totals: their square root, so that neither a slice nor the list of slices grows in proportion."""
     return max(1, math.isqrt(max(0, n)))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import one_space, row_key, written
+from graphspun.llm.common import kept_rows, one_space, row_key, written
 
 
 def md5_128(text: Column) -> Column:
@@ -45,6 +45,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key")).distinct()
-    held = docs.withColumn("_key", row_key(F.col(id_col), F.sha2(one_space(text_col), 256)))
-    return held.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    return kept_rows(docs, row_key(F.col(id_col), F.sha2(one_space(text_col), 256)), kept, once=True)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphspun.llm.common import before_in_group, n_words, plain_text, row_key, slices, written
+from graphspun.llm.common import before_in_group, fresh, n_words, plain_text, row_key, slices, written
 
 
 def typical_prose(text: Column, size: Column) -> Column:
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
     """The documents with all their columns, each as often as it is taken. Rows that repeat an id and a text are one row that is taken as often as all of them."""
-    taken = mix(docs, weights, most, seed, id_col, text_col, source_col, quality).groupBy(row_key(F.col("doc_id"), F.col("text_hash")).alias("_key")).agg(F.sum("epochs").cast("int").alias("_times")).where("_times > 0")
-    held = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(F.lit(seed), plain_text(text_col)))).join(taken, "_key").dropDuplicates(["_key"])
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_key", "_times", "_copy")
+    key, times, copy = (fresh(docs.columns, n) for n in ("_key", "_times", "_copy"))
+    taken = mix(docs, weights, most, seed, id_col, text_col, source_col, quality).groupBy(row_key(F.col("doc_id"), F.col("text_hash")).alias(key)).agg(F.sum("epochs").cast("int").alias(times)).where(F.col(times) > 0)
+    held = docs.withColumn(key, row_key(F.col(id_col), F.xxhash64(F.lit(seed), plain_text(text_col)))).join(taken, key).dropDuplicates([key])
+    return held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

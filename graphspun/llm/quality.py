@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import plain_text, row_key, written
+from graphspun.llm.common import kept_rows, plain_text, row_key, written
 from graphspun.llm.kneser_ney import BITS, CODES, Level, discounts, grams, logp, train
 from graphspun.llm.ngram_counts import ngram_counts, segments, table_of
 
@@ -146,6 +146,5 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least: int
 
 def survivors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns; repeated rows stay repeated."""
-    kept = judge(docs, labels, id_col=id_col, text_col=text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
-    held = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(text_col)))
-    return held.join(kept, "_key", "left_semi").drop("_key")
+    kept = judge(docs, labels, id_col=id_col, text_col=text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key"))
+    return kept_rows(docs, row_key(F.col(id_col), F.xxhash64(text_col)), kept, once=False)

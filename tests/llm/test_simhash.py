@@ -92,6 +92,17 @@ def test_near_groups_against_all_pairs(spark):
     assert {r.component_id for r in found if r.doc_id is None} == {5002}
 
 
+def test_crowded_leaves_are_cut(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 6, dtype=np.int64)
+    fps = sorted({int(base[i % 6] ^ (1 << int(a)) ^ (1 << int(b))) for i, (a, b) in enumerate(rng.integers(0, 60, (300, 2)))})
+    points = spark.createDataFrame([(i, [fp], 1) for i, fp in enumerate(fps)], "point long, fp array<long>, shingles long")
+    whole, cut = (simhash.components(simhash.fingerprint_links(points, 2, 2, block=b), "x", "y").collect() for b in (1 << 16, 20))
+    assert sorted(whole) == sorted(cut) and len(whole) > 200
+    top = brute_components(dict(enumerate(fps)), lambda a, b: (a ^ b).bit_count() <= 2)
+    assert {r.vertex: r.component for r in cut} == {k: v for k, v in top.items() if k in {r.vertex for r in cut}}
+
+
 def test_empty(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     assert simhash.survivors(frame(spark, [])).count() == 0
