@@ -65,6 +65,14 @@ def zoom(feature_type: Column) -> Column:
     return out
 
 
+def markdown_text(text: Column) -> Column:
+    """What a reader sees of Markdown: links and images by their text, no signs of emphasis, code, headings, quotes and lists."""
+    out = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    out = F.regexp_replace(out, r"(?m)^[ ]{0,3}(#{1,6}|>|[-*+]|[0-9]+\.)[ ]+", "")
+    out = F.regexp_replace(out, r"(\*\*|__|\*|`)([^*`\n]+?)(\*\*|__|\*|`)", "$2")
+    return F.regexp_replace(out, r"\n{2,}", "\n")
+
+
 def mention_card(count: Column, first_ref: Column) -> Column:
     """"N verses. First mentioned in R"; without a mention, the count alone."""
     return F.concat(count.cast("string"), F.lit(" verses."), F.coalesce(F.concat(F.lit(" First mentioned in "), first_ref), F.lit("")))

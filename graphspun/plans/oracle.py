@@ -30,15 +30,24 @@ def _runs(source: str, group: str, order: str) -> str:
                  FROM numbered GROUP BY {group}, run)"""
 
 
+_MANIFEST = """
+    SELECT kind, lookup_name, CASE kind WHEN 'book' THEN '' ELSE kind || '/' END || lookup_name AS path FROM (
+        SELECT 'book' AS kind, lower(n_name) || '-' || n_nationkey AS lookup_name FROM nation
+        UNION ALL SELECT 'place', lower(r_name) || '-' || r_regionkey FROM region
+        UNION ALL SELECT 'person', 'supplier-' || s_suppkey FROM supplier
+        UNION ALL SELECT DISTINCT 'period', lower(o_orderpriority) FROM orders)"""
+
 SQL = {
     "site_title": "SELECT 'Graph pages' AS title",
     "slug_scan": "SELECT 'supplier-' || s_suppkey AS slug FROM supplier",
-    "page_manifest": """
-        SELECT kind, lookup_name, CASE kind WHEN 'book' THEN '' ELSE kind || '/' END || lookup_name AS path FROM (
-            SELECT 'book' AS kind, lower(n_name) || '-' || n_nationkey AS lookup_name FROM nation
-            UNION ALL SELECT 'place', lower(r_name) || '-' || r_regionkey FROM region
-            UNION ALL SELECT 'person', 'supplier-' || s_suppkey FROM supplier
-            UNION ALL SELECT DISTINCT 'period', lower(o_orderpriority) FROM orders)""",
+    "page_manifest": _MANIFEST,
+    "sitemap": f"SELECT 'https://site.example/' || path AS loc FROM ({_MANIFEST})",
+    "markdown_text": r"""
+        WITH t AS (SELECT c_custkey, '# ' || c_name || chr(10) || chr(10) || 'Lives in **' || c_mktsegment || '**, see [page ' || c_custkey || '](/person/' || c_custkey || ').' || chr(10) || '- *one*' || chr(10) || '- `two`' AS x FROM customer),
+             a AS (SELECT c_custkey, regexp_replace(x, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS x FROM t),
+             b AS (SELECT c_custkey, regexp_replace(x, '(?m)^[ ]{0,3}(#{1,6}|>|[-*+]|[0-9]+\.)[ ]+', '', 'g') AS x FROM a),
+             c AS (SELECT c_custkey, regexp_replace(x, '(\*\*|__|\*|`)([^*`\n]+?)(\*\*|__|\*|`)', '\2', 'g') AS x FROM b)
+        SELECT c_custkey, regexp_replace(x, '\n{2,}', chr(10), 'g') AS plain FROM c""",
     "index_sorted": "SELECT c_name AS name, c_custkey AS key, c_mktsegment AS status, row_number() OVER (ORDER BY c_name NULLS LAST, c_custkey) AS pos FROM customer",
     "index_desc": "SELECT r_name AS title, r_regionkey AS key, row_number() OVER (ORDER BY r_name DESC NULLS LAST, r_regionkey) AS pos FROM region",
     "books_by_testament": "SELECT r_name, CASE WHEN n_nationkey IS NOT NULL THEN row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) END AS pos, n_nationkey, n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey",

@@ -53,6 +53,15 @@ def page_manifest(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def sitemap(spark: SparkSession, d: str) -> DataFrame:
+    return page_manifest(spark, d).select(F.concat(F.lit("https://site.example/"), "path").alias("loc"))
+
+
+def markdown_text(spark: SparkSession, d: str) -> DataFrame:
+    text = _text("# ", F.col("c_name"), "\n\nLives in **", F.col("c_mktsegment"), "**, see [page ", F.col("c_custkey"), "](/person/", F.col("c_custkey"), ").\n- *one*\n- `two`")
+    return read(spark, d, "customer").select("c_custkey", C.markdown_text(text).alias("plain"))
+
+
 def index_sorted(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("status"))
     return numbered(rows, "name", ["key"])
@@ -310,6 +319,6 @@ def verses_by_book(spark: SparkSession, d: str) -> DataFrame:
     return listed.select("book", F.row_number().over(Window.orderBy("book")).cast("long").alias("pos"), "verses", "n_runs")  # a row per book
 
 
-_ALL = (site_title, slug_scan, page_manifest, index_sorted, index_desc, books_by_testament, book_text_nested, period_overview, lookup_by_key, exclude_self, exists_related, single_related, period_detail, person_timeline, place_timeline, person_pages, self_edge, cyclic_hop, first_related, first_two, alpha_index, year_timeline, first_last, name_list, verse_islands, range_label, ref_parse_link, leading_int, case_level, status_link, optional_concat, search_text_page1, search_text_page2, search_names, search_rest, search_appended, search_flags, input_kind, url_query, verses_by_book)
+_ALL = (site_title, slug_scan, page_manifest, sitemap, markdown_text, index_sorted, index_desc, books_by_testament, book_text_nested, period_overview, lookup_by_key, exclude_self, exists_related, single_related, period_detail, person_timeline, place_timeline, person_pages, self_edge, cyclic_hop, first_related, first_two, alpha_index, year_timeline, first_last, name_list, verse_islands, range_label, ref_parse_link, leading_int, case_level, status_link, optional_concat, search_text_page1, search_text_page2, search_names, search_rest, search_appended, search_flags, input_kind, url_query, verses_by_book)
 
 QUERIES = {f.__name__: f for f in _ALL}
