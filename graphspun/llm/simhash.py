@@ -15,7 +15,8 @@ little, so points are also cut into bands by their number of shingles: texts tha
 shingles are at most 1.25 times as long as each other, and so lie in one band or in neighbouring ones.
 
 Sizes. The sample and the number of leaves grow with the square root of the number of points, so both the
-tree, which every task holds, and a leaf, which one task holds, grow with the square root.
+tree, which every task holds, and a leaf grow with the square root. A leaf that near copies crowd beyond `block`
+rows is cut into blocks, and each pair of its blocks is a task of its own; so no task holds more than two.
 
 Defined results. Text null or without words: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is the one shingle. A bit that is set in exactly half of the hashes is 0. Id
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import row_key, slices, written
+from graphspun.llm.common import kept_rows, row_key, slices, written
 from graphspun.llm.components import components
 from graphspun.llm.unionfind import Forest
 
@@ -180,12 +181,12 @@ def leaf_links(points: np.ndarray, home: np.ndarray, within: int, first: int) ->
     return order[linked], order[forest.root[linked]]
 
 
-def fingerprint_links(points: DataFrame, within: int, first: int, ratio: float | None = None, sample_base: int = 64) -> DataFrame:
+def fingerprint_links(points: DataFrame, within: int, first: int, ratio: float | None = None, sample_base: int = 64, block: int = 1 << 16) -> DataFrame:
     """Links (x, y) between the rows (point, fp, shingles): those that join the same points as all pairs at most `within` bits
     apart would, of which the first word differs by `first` at most and, given a ratio, the numbers of shingles by no more than that."""
     spark = points.sparkSession
     n = points.count()
-    leaves = max(1, slices(n) // 16)
+    leaves = max(1, slices(n) // (64 if ratio else 16))
     share = min(1.0, sample_base * leaves / max(1, n))
     word = points.select(F.col("fp")[0].alias("w"))
     sampled = word.where(F.pmod(F.hash("w"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).toPandas() if n else pd.DataFrame({"w": []})
@@ -216,8 +217,14 @@ def fingerprint_links(points: DataFrame, within: int, first: int, ratio: float |
         x, y = leaf_links(fp, home, within, first)
         return pa.table({"x": point[x], "y": point[y]})
 
-    placed = points.select("point", "fp", "shingles").mapInArrow(place, "band long, leaf long, point long, fp array<long>, home boolean")
-    return placed.groupBy("band", "leaf").applyInArrow(link, "x long, y long")
+    placed = written(points.select("point", "fp", "shingles").mapInArrow(place, "band long, leaf long, point long, fp array<long>, home boolean"), "leaves")
+    crowded = written(placed.groupBy("band", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks")).where("_blocks > 1"), "crowded-leaves")
+    if crowded.isEmpty():
+        return placed.groupBy("band", "leaf").applyInArrow(link, "x long, y long")
+    cut = placed.join(crowded, ["band", "leaf"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    cut = cut.withColumn("_own", F.pmod(F.xxhash64("point", F.lit(5)), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cut = cut.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_blocks", "_own", "_other")
+    return cut.groupBy("band", "leaf", "_i", "_j").applyInArrow(link, "x long, y long")
 
 
 def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shingle: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -254,7 +261,5 @@ def near_texts(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, within: in
 
 def survivors(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of every group of near texts, with all its columns: that with the least id; of rows that repeat its id and text, one."""
-    groups = near_texts(docs, shingle, id_col=id_col, text_col=text_col).where("kept")
-    kept = groups.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
-    held = docs.withColumn("_key", row_key(F.col(id_col), F.xxhash64(text_col)))
-    return held.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = near_texts(docs, shingle, id_col=id_col, text_col=text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key"))
+    return kept_rows(docs, row_key(F.col(id_col), F.xxhash64(text_col)), kept, once=True)
