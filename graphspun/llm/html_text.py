@@ -153,6 +153,10 @@ def template_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list
         name, tag = pick(*names), pick("div", "section", "div", "aside") if not is_main else "div"
         return f'<{tag} {pick("class", "id")}="{name}">' + "".join(text(pick("p", "div", "span", "p"), is_main, 2, 25) if rng.random() < 0.7 or is_main else links(2) for _ in range(n)) + f"</{tag}>"
 
+    def comments() -> list[str]:
+        opening, closing = pick(('<section class="comments">', "</section>"), ('<div id="comments">', "</div>"), ('<div class="comment-list">', "</div>"))
+        return [opening] + [f'<div class="comment">{text("p", False, 2, 40)}</div>' for _ in range(rng.integers(1, 6))] + [closing]
+
     outside = ("ad", "advert", "ads", "banner", "cookie-notice", "notice", "sidebar", "related", "newsletter", "promo", "share", "social", "breadcrumbs", "widget", "subscribe", "popup")
     out = ["<html><body>"]
     if rng.random() < 0.7:
@@ -181,9 +185,13 @@ def template_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list
             main.append(True)
         else:
             out.append(box(outside))
+
+    where = rng.random()
+    if where < 0.15:
+        out += comments()
     out.append(closing)
-    if rng.random() < 0.35:
-        out += [pick('<section class="comments">', '<div id="comments">', '<div class="comment-list">')] + [f'<div class="comment">{text("p", False, 2, 40)}</div>' for _ in range(rng.integers(1, 6))] + ["</section></div>"]
+    if where > 0.7:
+        out += comments()
     out += [box(outside, n=int(rng.integers(1, 3))) for _ in range(rng.integers(0, 3))]
     if rng.random() < 0.9:
         out += ["<footer>", text(pick("p", "div", "span"), False, 2, 15), "</footer>"]
