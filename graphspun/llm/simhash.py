@@ -251,7 +251,7 @@ def near_groups(docs: DataFrame, within: int = 2, shingle: int = 3, seed: int =
     return _groups(docs, within, within, None, shingle, seed, 1, id_col, text_col).withColumn("fp", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))).withColumnRenamed("fp", "fingerprint")
 
 
-def near_texts(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, within: int = 54, first: int = 22, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_texts(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, within: int = 56, first: int = 22, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id, kept, text_hash, where texts with fingerprints of 256 bits at most `within` apart are linked.
 
     Two texts that share 0.8 of their shingles differ in 39 bits, give or take 6, and unrelated ones in 128, give or take 8.
