@@ -105,19 +105,16 @@ def shorter(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys & ((1 << BITS * (n - 1)) - 1), return_counts=True)
 
 
-def train(keys: np.ndarray, counts: np.ndarray, order: int, discount: Callable[[int, np.ndarray], tuple[float, float, float]] | None = None, unigrams: Level | None = None) -> list[Level]:
-    """Levels 1 to `order` from the counts of the longest n-grams. Given `unigrams`, level 1 is theirs: then the n-grams may be
-    those of one shard, if it holds all n-grams with its last but one character."""
+def train(keys: np.ndarray, counts: np.ndarray, order: int, discount: Callable[[int, np.ndarray], tuple[float, float, float]] | None = None, lower: list[Level] | None = None) -> list[Level]:
+    """Levels 1 to `order` from the counts of the longest n-grams. Given the `lower` levels, only those above are made: then the
+    n-grams may be those of one shard, if it holds all n-grams with its last contexts of the length of the highest of them."""
     discount = discount or (lambda n, c: discounts_of(c))
-    tables = [(keys, counts)]
-    for n in range(order, 1, -1):
-        tables.append(shorter(tables[-1][0], n))
-    tables.reverse()
-    levels: list[Level] = []
-    for n, (k, c) in enumerate(tables, 1):
-        if n == 1 and unigrams is not None:
-            levels.append(unigrams)
-            continue
+    levels = list(lower or [])
+    tables = {order: (keys, counts)}
+    for n in range(order, len(levels) + 1, -1):
+        tables[n - 1] = shorter(tables[n][0], n)
+    for n in range(len(levels) + 1, order + 1):
+        k, c = tables[n]
         context = k >> BITS
         start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))

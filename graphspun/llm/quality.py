@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an n-gram model of trusted text, against quantiles by language.
 
 The model is character 5-grams with interpolated modified Kneser-Ney smoothing, one per language, trained
-on all trusted text but a quarter of the documents that is held out. Counts stay in Spark: they are sharded by
-language and by the last but one character, since every n-gram and context that one probability needs is in
-one such shard; only discounts and single characters are global. Documents then meet the shards of the model
+on all trusted text but a quarter of the documents that is held out. Counts stay in Spark: those of three characters
+and more are sharded by language and by the two characters before the last, since every such n-gram and context that one
+probability needs is in one shard, which is joined with its pairs; only discounts and single characters are
+global. Documents then meet the shards of the model
 in turn: each pass holds a shard of bounded size, and a document's log probability is the sum over the
 passes. A document is kept if its mean is no worse than a high quantile of the held-out trusted documents
 of its language and length class.
@@ -49,24 +50,36 @@ def train_model(trusted: DataFrame) -> tuple[DataFrame, dict[str, Level]]:
         rows = rows.sort_values("key")
         singles[lang] = train(rows["key"].to_numpy(), rows["n"].to_numpy(), 1, lambda n, c, d=found[1][lang]: d)[0]
 
-    def shard(table: pa.Table) -> pa.Table:
-        lang, last = table.column("lang")[0].as_py(), table.column("last")[0].as_py()
-        table = table.sort_by("key")
-        levels = train(table.column("key").to_numpy(), table.column("n").to_numpy(), ORDER, lambda n, c: found[n][lang], singles[lang])
-        parts = [(n, context, keys, values) for n, x in enumerate(levels[1:], 2) for context, keys, values in ((False, x.keys, x.logp), (True, x.contexts, x.left))]
+    def rows(table: pa.Table, levels: list[Level], first: int) -> pa.Table:
+        parts = [(n, context, keys, values) for n, x in enumerate(levels[first - 1 :], first) for context, keys, values in ((False, x.keys, x.logp), (True, x.contexts, x.left))]
         size = [len(p[2]) for p in parts]
-        total = sum(size)
-        return pa.table({"lang": pa.array([lang]).take(pa.array(np.zeros(total, np.int32))), "last": np.full(total, last, np.int32), "level": np.repeat([p[0] for p in parts], size).astype(np.int32), "context": np.repeat([p[1] for p in parts], size), "key": np.concatenate([p[2] for p in parts]), "value": np.concatenate([p[3] for p in parts]).astype(np.float32)})
+        at = pa.array(np.zeros(sum(size), np.int32))
+        return pa.table({"lang": table.column("lang").take(at), "last": table.column("last").take(at), "level": np.repeat([p[0] for p in parts], size).astype(np.int32), "context": np.repeat([p[1] for p in parts], size), "key": np.concatenate([p[2] for p in parts]), "value": np.concatenate([p[3] for p in parts]).astype(np.float32)})
 
-    sharded = counts.withColumn("last", F.shiftright("key", BITS).bitwiseAND(CODES - 1).cast("int"))
-    model = sharded.groupBy("lang", "last").applyInArrow(shard, "lang string, last int, level int, context boolean, key long, value float")
-    return written(model, "ngram-model"), singles
+    def pair_shard(table: pa.Table) -> pa.Table:
+        lang, table = table.column("lang")[0].as_py(), table.sort_by("key")
+        return rows(table, train(table.column("key").to_numpy(), table.column("n").to_numpy(), 2, lambda n, c: found[n][lang], [singles[lang]]), 2)
+
+    def shard(table: pa.Table, pairs: pa.Table) -> pa.Table:
+        lang, table, pairs = table.column("lang")[0].as_py(), table.sort_by("key"), pairs.sort_by("key").to_pandas()
+        own, context = pairs[~pairs["context"]], pairs[pairs["context"]]
+        second = Level(own["key"].to_numpy(), own["value"].to_numpy(), context["key"].to_numpy(), context["value"].to_numpy())
+        return rows(table, train(table.column("key").to_numpy(), table.column("n").to_numpy(), ORDER, lambda n, c: found[n][lang], [singles[lang], second]), 3)
+
+    schema = "lang string, last int, level int, context boolean, key long, value float"
+    code = lambda at: F.shiftright("key", BITS * at).bitwiseAND(CODES - 1).cast("int")
+    second = written(tables[2].withColumn("last", code(1)).groupBy("lang", "last").applyInArrow(pair_shard, schema), "ngram-pairs")
+    sharded = counts.withColumn("last", code(1)).withColumn("prev", code(2))
+    wanted = sharded.groupBy("lang", "last", "prev").agg(F.count(F.lit(1)).alias("types")).select(F.col("lang").alias("_lang"), F.col("last").alias("_last"), F.col("prev").alias("_prev"))
+    pairs = wanted.join(second, (F.col("lang") == F.col("_lang")) & (F.col("last") == F.col("_last"))).select("_lang", "_prev", "_last", "context", "key", "value")
+    longer = sharded.groupBy("lang", "prev", "last").cogroup(pairs.groupBy("_lang", "_prev", "_last")).applyInArrow(shard, schema)
+    return written(second.unionByName(longer), "ngram-model"), singles
 
 
 def _levels(table: pa.Table, singles: dict[str, Level]) -> dict[str, list[Level]]:
-    rows = table.to_pandas().sort_values("key")
+    rows = table.set_column(table.column_names.index("lang"), "lang", table.column("lang").dictionary_encode()).to_pandas().sort_values("key")
     out = {lang: [one] for lang, one in singles.items()}
-    parts = dict(list(rows.groupby(["lang", "level", "context"])))
+    parts = dict(list(rows.groupby(["lang", "level", "context"], observed=True)))
     empty = rows.iloc[:0]
     for lang, levels in out.items():
         for n in range(2, ORDER + 1):
@@ -119,7 +132,7 @@ def log_probabilities(docs: DataFrame, model: DataFrame, singles: dict[str, Leve
     return summed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_", "_times")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least: int = 40, broadcast_ids: int = 500_000, shard_rows: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 40, broadcast_ids: int = 500_000, shard_rows: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, n_chars, perplexity (of a character), threshold, kept, text_hash.
 
     labels: doc_id, quality, toxic; trusted are quality 1 and toxic 0. At most `broadcast_ids` of their ids are
@@ -139,7 +152,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least: int
     limit = F.when(F.count(F.lit(1)) >= least, F.percentile_approx("cross", F.lit(quantile), F.lit(10_000))).alias("limit")
     by_class = known.groupBy("lang", "class").agg(limit)
     by_lang = known.groupBy("lang").agg(limit.alias("lang_limit"))
-    joined = scored.join(by_class, ["lang", "class"], "left").join(by_lang, "lang", "left")
+    # A few rows for each language that has a model; those languages are held by the driver already.
+    joined = scored.join(F.broadcast(by_class), ["lang", "class"], "left").join(F.broadcast(by_lang), "lang", "left")
     threshold = F.coalesce("limit", "lang_limit")
     return joined.select("doc_id", "lang", "n_chars", F.exp("cross").alias("perplexity"), F.exp(threshold).alias("threshold"), F.coalesce(F.col("cross") <= threshold, F.lit(True)).alias("kept"), "text_hash")
 
