@@ -9,10 +9,11 @@ distance to the leaf's own vantage point, and only the ring that the bounds leav
 A leaf emits links from each point to the least point of its local group, not all pairs; the components
 are then found in Spark.
 
-Two settings. `exact` links fingerprints of one word at most `within` bits apart. near_texts() wants texts that
-share most of their shingles: there the fingerprints have four words and a wide radius, for which a tree prunes
+Two settings. near_groups() links fingerprints of one word at most `within` bits apart. near_texts() links texts that
+share `ratio` of their shingles: there the fingerprints have four words and a wide radius, for which a tree prunes
 little, so points are also cut into bands by their number of shingles: texts that share 0.8 of their
-shingles are at most 1.25 times as long as each other, and so lie in one band or in neighbouring ones.
+shingles are at most 1.25 times as long as each other, and so lie in one band or in neighbouring ones. What the
+fingerprints link is then checked: within each of their groups, texts are linked again by their sets of shingles.
 
 Sizes. The sample and the number of leaves grow with the square root of the number of points, so both the
 tree, which every task holds, and a leaf grow with the square root. A leaf that near copies crowd beyond `block`
@@ -32,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from graphspun.llm.common import kept_rows, row_key, slices, written
@@ -218,13 +219,96 @@ def fingerprint_links(points: DataFrame, within: int, first: int, ratio: float |
         return pa.table({"x": point[x], "y": point[y]})
 
     placed = written(points.select("point", "fp", "shingles").mapInArrow(place, "band long, leaf long, point long, fp array<long>, home boolean"), "leaves")
-    crowded = written(placed.groupBy("band", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks")).where("_blocks > 1"), "crowded-leaves")
+    return in_units(placed, ["band", "leaf"], block).applyInArrow(link, "x long, y long")
+
+
+def in_units(rows: DataFrame, group: list[str], block: int) -> GroupedData:
+    """The rows by group; groups of more than `block` rows are dealt into blocks by their point, and each pair of blocks is a unit."""
+    crowded = written(rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks")).where("_blocks > 1"), "crowded")
     if crowded.isEmpty():
-        return placed.groupBy("band", "leaf").applyInArrow(link, "x long, y long")
-    cut = placed.join(crowded, ["band", "leaf"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        return rows.groupBy(*group)
+    cut = rows.join(crowded, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     cut = cut.withColumn("_own", F.pmod(F.xxhash64("point", F.lit(5)), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     cut = cut.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_blocks", "_own", "_other")
-    return cut.groupBy("band", "leaf", "_i", "_j").applyInArrow(link, "x long, y long")
+    return cut.groupBy(*group, "_i", "_j")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text."""
+    found = (text or "").encode().translate(_LOWER).split()
+    size = min(shingle, len(found))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + size])) for i in range(len(found) - size + 1)) if found else (), np.uint64))
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def checked_links(fp: np.ndarray, sets: list[np.ndarray], within: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index, least of its group) by similarities of at least `ratio`, among pairs whose fingerprints are near.
+
+    Pairs are tried nearest first, one for each row and round, and only while their groups differ: a group of n
+    copies takes about n trials, and a pair is left out only if its ends are linked already.
+    """
+    n, size, forest = len(fp), np.array([len(x) for x in sets]), Forest(len(fp))
+    step = max(1, _BITS // max(1, n))
+    for at in range(0, n, step):
+        to = min(n, at + step)
+        d = np.zeros((to - at, n), np.int16)
+        for w in range(fp.shape[1]):
+            d += np.bitwise_count(fp[at:to, w, None] ^ fp[None, :, w])
+        small, large = np.minimum(size[at:to, None], size[None]), np.maximum(size[at:to, None], size[None])
+        i, j = np.nonzero((d <= within) & (small >= ratio * large) & (np.arange(at, to)[:, None] < np.arange(n)[None]))
+        order = np.argsort(d[i, j], kind="stable")
+        i, j = i[order] + at, j[order]
+        while True:
+            apart = forest.root[i] != forest.root[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                break
+            first = np.unique(i, return_index=True)[1]
+            good = np.array([shared(sets[a], sets[b]) >= ratio for a, b in zip(i[first].tolist(), j[first].tolist())])
+            forest.link(i[first][good], j[first][good])
+            rest = np.ones(len(i), bool)
+            rest[first] = False
+            i, j = i[rest], j[rest]
+    linked = np.flatnonzero(forest.root != np.arange(n))
+    return linked, forest.root[linked]
+
+
+def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingle: int, ratio: float, within: int, id_col: str, text_col: str, block: int = 1 << 12, broadcast_keys: int = 1 << 17) -> DataFrame:
+    """Links (x, y) between the points of each group (vertex, component) whose texts share `ratio` of their shingles. Only the texts of such
+    points move, each once; the keys that find them are broadcast if they are few, and joined by a shuffle if not."""
+    wanted = written(points.join(groups, F.col("point") == F.col("vertex")).select("point", "component", "fp", row_key(F.col("least.doc_id"), F.col("least.text_hash")).alias("_key")), "near-candidates")
+    side = F.broadcast(wanted) if wanted.count() <= broadcast_keys else wanted
+    texts = docs.select(row_key(F.col(id_col), F.xxhash64(text_col)).alias("_key"), F.col(text_col).alias("text")).join(side, "_key").select("component", "point", "fp", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(3)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["component", "point", "fp", "shingles"])
+
+    def link(group: pa.Table) -> pa.Table:
+        point, first = np.unique(group.column("point").to_numpy(), return_index=True)  # rows that repeat an id and a text are one point
+        group = group.take(pa.array(first))
+        fp = group.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(point), -1)
+        lists = group.column("shingles").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        x, y = checked_links(fp, np.split(flat, ends[:-1]), within, ratio)
+        return pa.table({"x": point[x], "y": point[y]})
+
+    sets = written(texts.mapInArrow(hashed, "component long, point long, fp array<long>, shingles array<long>"), "shingle-sets")
+    return in_units(sets, ["component"], block).applyInArrow(link, "x long, y long")
 
 
 def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shingle: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -234,6 +318,8 @@ def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shing
     points = rows.groupBy(*same).agg(least, F.max("shingles").alias("most"))
     points = written(points.select(F.monotonically_increasing_id().alias("point"), "fp", F.col("most").alias("shingles"), "least"), "points")
     groups = components(fingerprint_links(points, within, first, ratio), "x", "y")
+    if ratio:
+        groups = components(verified_links(docs, points, groups, shingle, ratio, within, id_col, text_col), "x", "y")
     of_point = points.join(groups, F.col("point") == F.col("vertex"), "left").withColumn("top", F.coalesce("component", "point"))
     tops = of_point.groupBy("top").agg(F.min("least").alias("first"))
     named = written(of_point.join(tops, "top").select(*[F.col(c).alias(f"_{c}") for c in same], "first"), "point-groups")
@@ -252,9 +338,10 @@ def near_groups(docs: DataFrame, within: int = 2, shingle: int = 3, seed: int =
 
 
 def near_texts(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, within: int = 56, first: int = 22, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, component_id, kept, text_hash, where texts with fingerprints of 256 bits at most `within` apart are linked.
+    """One row per document: doc_id, component_id, kept, text_hash, where texts that share `ratio` of their shingles are linked.
 
-    Two texts that share 0.8 of their shingles differ in 39 bits, give or take 6, and unrelated ones in 128, give or take 8.
+    Fingerprints of 256 bits at most `within` apart find the pairs to check: two texts that share 0.8 of their
+    shingles differ in 39 bits, give or take 6, and unrelated ones in 128, give or take 8.
     """
     return _groups(docs, within, first, ratio, shingle, seed, 4, id_col, text_col).drop("fp")
 

@@ -71,8 +71,10 @@ def test_stages(spark, folder, tmp_path):
     before, after = results["near_dedup"]
     shingles = {r.doc_id: frozenset(zip(*[(r.text or "").lower().split()[i:] for i in range(5)])) for r in before}
     kept = {r.doc_id for r in after}
-    for a in shingles:
-        near = [b for b in shingles if a != b and shingles[a] and len(shingles[a] & shingles[b]) >= 0.9 * len(shingles[a] | shingles[b])]
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])  # noqa: E731  also true of two empty ones
+    long = [d for d in shingles if len(shingles[d]) > 4]
+    for a in long:
+        near = [b for b in long if a != b and alike(a, b)]
         assert a in kept if not near else (a in kept) == all(a < b for b in near)
 
     before, after = results["mixing"]

@@ -103,6 +103,50 @@ def test_crowded_leaves_are_cut(spark):
     assert {r.vertex: r.component for r in cut} == {k: v for k, v in top.items() if k in {r.vertex for r in cut}}
 
 
+def edited(rng, n=60):
+    rows = []
+    for g in range(n):
+        words = [f"v{x}" for x in rng.integers(0, 3000, int(rng.choice([3, 8, 30, 200, 500])))]
+        rows.append(words)
+        for _ in range(int(rng.integers(0, 5))):
+            copy = list(rows[int(rng.integers(len(rows) - 1, len(rows)))])
+            for at in rng.integers(0, len(copy), max(1, int(len(copy) * rng.choice([0.004, 0.02, 0.05])))):
+                copy[int(at)] = f"e{rng.integers(0, 9999)}"
+            rows.append(copy[: len(copy) - int(rng.integers(0, 3))] or copy)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def shingles_of(text, k=5):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def alike(a, b):
+    return (not a and not b) or len(a & b) >= 0.8 * len(a | b)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 2**32))
+def test_checked_links_are_those_of_all_pairs(seed):
+    rows = edited(np.random.default_rng(seed), 12)
+    fp = np.stack([simhash.fingerprint(t, 5, 42, 4)[0] for _, t in rows])
+    x, y = simhash.checked_links(fp, [simhash.shingle_set(t, 5) for _, t in rows], 256, 0.8)
+    top = brute_components({i: shingles_of(t) for i, t in rows}, alike)
+    label = {i: i for i, _ in rows} | dict(zip(x.tolist(), y.tolist()))
+    assert label == top
+
+
+def test_near_texts_against_all_pairs(spark, monkeypatch):
+    rows = edited(np.random.default_rng(8)) + [(9001, None), (9000, ""), (9002, "A b"), (9003, "a  B")]
+    top = brute_components({i: shingles_of(t or "") for i, t in rows}, alike)
+    for small in (False, True):
+        if small:  # every group in blocks, keys by a shuffle
+            monkeypatch.setattr(simhash.verified_links, "__defaults__", (3, 0))
+        found = simhash.near_texts(frame(spark, rows)).collect()
+        assert {r.doc_id: r.component_id for r in found} == top
+        assert {r.doc_id for r in found if r.kept} == set(top.values())
+
+
 def test_empty(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     assert simhash.survivors(frame(spark, [])).count() == 0
