@@ -59,3 +59,11 @@ def grouped(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]
     groups = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.min(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(sort)])).alias("_first"))
     pos = F.row_number().over(Window.orderBy(F.col(key).isNull(), "_first")).cast("long")  # a row per group: letters, years
     return groups.select(key, pos.alias(out), F.transform("_rows", lambda x: x["row"]).alias(rows))
+
+
+def group_ends(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], out: str = "pos") -> DataFrame:
+    """(key, pos, n, first, last): grouped() without the rows themselves, for groups of any size: all is combined before the shuffle."""
+    sort = F.struct(*[s.alias(f"s{i}") for i, s in enumerate(c for o in order for c in (F.col(o).isNull(), F.col(o)))])
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(sort).alias("_first"), F.min_by(F.struct(*fields), sort).alias("first"), F.max_by(F.struct(*fields), sort).alias("last"))
+    pos = F.row_number().over(Window.orderBy(F.col(key).isNull(), "_first")).cast("long")  # a row per group
+    return groups.select(key, pos.alias(out), "n", "first", "last")

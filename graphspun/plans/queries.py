@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from graphspun.functions import columns as C
 from graphspun.operators import nested as N
 from graphspun.operators import search as S
-from graphspun.operators.ordering import grouped, has_more, numbered
+from graphspun.operators.ordering import group_ends, grouped, has_more, numbered
 from graphspun.operators.runs import island_label, islands
 from graphspun.sources.tables import constant, read, url_parameter
 
@@ -194,8 +194,8 @@ def first_two(spark: SparkSession, d: str) -> DataFrame:
 
 def alpha_index(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "part").select(C.initial(F.col("p_name")).alias("letter"), F.col("p_name").alias("name"), F.col("p_partkey").alias("key"))
-    out = grouped(rows, "letter", ["name", "key"], ["name", "key"])
-    return out.select("letter", "pos", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["key"].alias("first_key"), F.try_element_at("rows", F.lit(-1))["key"].alias("last_key"))
+    out = group_ends(rows, "letter", ["name", "key"], ["key"])
+    return out.select("letter", "pos", "n", F.col("first.key").alias("first_key"), F.col("last.key").alias("last_key"))
 
 
 def year_timeline(spark: SparkSession, d: str) -> DataFrame:

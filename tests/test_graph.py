@@ -172,6 +172,12 @@ def test_grouped_keeps_the_null_group_last(spark):
     assert [(r.g, r.pos, [x.k for x in r.rows]) for r in ordering.grouped(df, "g", ["k"], ["k"]).orderBy("pos").collect()] == [("a", 1, [2]), ("b", 2, [3, 4]), (None, 3, [1])]
 
 
+def test_group_ends_are_those_of_the_groups(spark):
+    df = spark.createDataFrame([(3, "b"), (1, None), (2, "a"), (4, "b"), (None, "b"), (0, "c")], "k int, g string")
+    whole = {r.g: (r.pos, len(r.rows), r.rows[0].k, r.rows[-1].k) for r in ordering.grouped(df, "g", ["k"], ["k"]).collect()}
+    assert {r.g: (r.pos, r.n, r.first.k, r.last.k) for r in ordering.group_ends(df, "g", ["k"], ["k"]).collect()} == whole
+
+
 def test_has_more(spark):
     order = [F.col("id").asc()]
     assert [tuple(ordering.has_more(spark.range(n), order, 3).first()) for n in (0, 3, 4)] == [(0, False), (3, False), (3, True)]
