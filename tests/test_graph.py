@@ -210,6 +210,14 @@ def test_search_address_comes_back(spark, text):
     assert column(spark, tables.url_parameter(url), t=text) == text
 
 
+def test_session_settings(spark):
+    from graphspun.session import SETTINGS, session
+
+    same = session()
+    assert same.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert same.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == SETTINGS["spark.sql.execution.arrow.maxBytesPerBatch"]
+
+
 def test_sources(spark, tmp_path):
     assert tables.constant(spark, title="T").collect()[0].asDict() == {"title": "T"}
     (tmp_path / "a.png").write_bytes(b"x")
