@@ -7,6 +7,8 @@ import math
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this library, once a session, so that it need not be on their Python path. Called by every operator that runs Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_graphspun_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if not root.is_dir():  # the library came as an archive, which is with the executors already
+        return
+    folder = tempfile.mkdtemp(prefix="graphspun-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/graphspun.zip", "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"{root.name}/{path.relative_to(root)}")
+    context.addPyFile(f"{folder}/graphspun.zip")
+    context._graphspun_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: `df` as a table written to the shared folder and read back. release() removes such tables."""
     spark = df.sparkSession

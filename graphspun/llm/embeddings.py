@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import written
+from graphspun.llm.common import ship, written
 from graphspun.llm.components import components
 from graphspun.llm.unionfind import Forest
 
@@ -93,6 +93,7 @@ def bucket_links(vectors: np.ndarray, sides: np.ndarray, many: np.ndarray, bucke
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, width: float = 3.0, miss: float = 0.01, bucket: int = 512, block: int = 1024, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
+    ship(spark)
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col(label_col).isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphspun.llm.common import ship
 from graphspun.llm.html_blocks import PATHS, WIDTH, WORDS, Block, blocks, features
 
 #: Names that mark what is not the article, and those that mark the article.
@@ -234,6 +235,7 @@ def main_texts(model: Labeller, pages: list[str | None], batch: int = 128) -> li
 def extract(pages: DataFrame, sample: int = 300, templates: int = 500, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars. `sample`: at most so many pages of the table are used in training."""
     spark = pages.sparkSession
+    ship(spark)
     ids = [r[0] for r in pages.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
     own = [r[0] for r in pages.where(F.col(id_col).isin(ids)).select(html_col).limit(sample).collect()] if ids else []
     held = spark.sparkContext.broadcast(fit(training_pages(sorted(own, key=lambda x: x or ""), templates)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import plain_text, written
+from graphspun.llm.common import plain_text, ship, written
 from graphspun.llm.kneser_ney import CODES, SPACE, grams, logp, train
 from graphspun.llm.ngram_counts import ngram_counts, segments, table_of
 
@@ -125,6 +125,7 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text"))
     if models is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphspun.llm.common import ship
 from graphspun.llm.kneser_ney import counted, grams, letter_table, raw_table
 
 #: Characters that are held at once; longer texts go in segments of this length, each of which begins anew.
@@ -37,6 +38,8 @@ def table_of(letters: bool) -> np.ndarray:
 def ngram_counts(docs: DataFrame, order: int, letters: bool, keep: int = 1 << 21) -> DataFrame:
     """(lang, key, n) over all rows of (lang, text). A task sums up to `keep` n-grams before it passes them on."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import kept_rows, plain_text, row_key, written
+from graphspun.llm.common import kept_rows, plain_text, row_key, ship, written
 from graphspun.llm.kneser_ney import BITS, CODES, Level, discounts, grams, logp, train
 from graphspun.llm.ngram_counts import ngram_counts, segments, table_of
 
@@ -91,6 +91,7 @@ def _levels(table: pa.Table, singles: dict[str, Level]) -> dict[str, list[Level]
 def log_probabilities(docs: DataFrame, model: DataFrame, singles: dict[str, Level], shard_rows: int = 1 << 21) -> DataFrame:
     """(doc_id, text_hash, lang, n_chars, total): the log probability of each text in its language's model, null where there is none."""
     spark = docs.sparkSession
+    ship(spark)
     shards = max(1, -(-model.count() // shard_rows))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     passes = []

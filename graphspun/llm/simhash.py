@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import kept_rows, row_key, slices, written
+from graphspun.llm.common import kept_rows, row_key, ship, slices, written
 from graphspun.llm.components import components
 from graphspun.llm.unionfind import Forest
 
@@ -77,6 +77,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int =
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, shingles): fp is the fingerprint's words as signed longs."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fingerprint(t.as_py(), shingle, seed, words) for t in b.column(2)]
@@ -186,6 +188,7 @@ def fingerprint_links(points: DataFrame, within: int, first: int, ratio: float |
     """Links (x, y) between the rows (point, fp, shingles): those that join the same points as all pairs at most `within` bits
     apart would, of which the first word differs by `first` at most and, given a ratio, the numbers of shingles by no more than that."""
     spark = points.sparkSession
+    ship(spark)
     n = points.count()
     leaves = max(1, slices(n) // (64 if ratio else 16))
     share = min(1.0, sample_base * leaves / max(1, n))

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import plain_text, written
+from graphspun.llm.common import plain_text, ship, written
 from graphspun.llm.tokens import count_tokens, version
 
 _SCHEMA = "digest binary, n_tokens long"
@@ -38,6 +38,7 @@ def stored(spark: SparkSession, cache_path: str, tokenizer_path: str) -> DataFra
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     texts = rows.select("digest", "text")
     if (known := stored(spark, cache_path, tokenizer_path)) is not None:

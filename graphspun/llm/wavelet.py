@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphspun.llm.common import written
+from graphspun.llm.common import ship, written
 from graphspun.llm.tokens import open_file
 
 _MARK = b"WVM1"
@@ -150,6 +150,8 @@ def open_shard(shard: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all documents in ascending id order as a table of shards (part, seq, n_docs, n_tokens, shard)."""
 
+    ship(docs.sparkSession)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids_of, ids, crc = open_file(tokenizer_path).ids, [], []
@@ -188,6 +190,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the shards: doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids)."""
+    ship(spark)
     table = spark.read.parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
