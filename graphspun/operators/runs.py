@@ -21,6 +21,17 @@ def islands(df: DataFrame, group: Sequence[str], chapter: str, number: str, pos:
     return marked.groupBy(*group, "run").agg(F.first(chapter).alias(chapter), F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
+def chapter_islands(df: DataFrame, group: Sequence[str], chapter: str, number: str) -> DataFrame:
+    """(group, chapter, first, last, n): islands() in the order of chapter and number, without the count of runs.
+
+    No run crosses a chapter, so a task holds a chapter at a time, not a group. In a group the runs are ordered by chapter and first.
+    """
+    order = Window.partitionBy(*group, chapter).orderBy(number)
+    marked = df.withColumn("_new", F.coalesce(F.col(number) != F.lag(number).over(order) + 1, F.lit(True)).cast("long"))
+    marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return marked.groupBy(*group, chapter, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
 def island_label(chapter: str = "chapter") -> F.Column:
     """chapter:first, or chapter:first-last."""
     return F.concat(F.col(chapter).cast("string"), F.lit(":"), F.col("first").cast("string"), F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("last").cast("string"))).otherwise(F.lit("")))

@@ -14,7 +14,7 @@ from graphspun.functions import columns as C
 from graphspun.operators import nested as N
 from graphspun.operators import search as S
 from graphspun.operators.ordering import group_ends, grouped, has_more, numbered
-from graphspun.operators.runs import island_label, islands
+from graphspun.operators.runs import chapter_islands, island_label, islands
 from graphspun.sources.tables import constant, read, url_parameter
 
 
@@ -311,11 +311,10 @@ def url_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verses_by_book(spark: SparkSession, d: str) -> DataFrame:
-    """References grouped by book in the books' own order, each book's runs as one text."""
+    """References grouped by book in the books' own order, each book's runs as one text. Only of orders up to 400, as its SQL has it."""
     rows = read(spark, d, "lineitem").where("l_orderkey <= 400").select((F.col("l_orderkey") % 5).cast("int").alias("book"), (F.col("l_orderkey") / 5).cast("int").alias("chapter"), F.col("l_linenumber").alias("number")).distinct()
-    rows = rows.withColumn("at", F.struct("chapter", "number"))
-    labels = islands(rows, ["book"], "chapter", "number", "at").withColumn("label", island_label())
-    listed = labels.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda x: x["label"]), ", ").alias("verses"), F.count(F.lit(1)).alias("n_runs"))
+    labels = chapter_islands(rows, ["book"], "chapter", "number").withColumn("label", island_label())
+    listed = labels.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "first", "label"))), lambda x: x["label"]), ", ").alias("verses"), F.count(F.lit(1)).alias("n_runs"))
     return listed.select("book", F.row_number().over(Window.orderBy("book")).cast("long").alias("pos"), "verses", "n_runs")  # a row per book
 
 

@@ -158,6 +158,15 @@ def test_islands_expand_to_the_input(spark, verses):
         assert not (a.chapter == b.chapter and b.first == a.last + 1)  # no run could be longer
 
 
+def test_chapter_islands_are_those_of_whole_groups(spark):
+    rows = sorted({(i * i % 3, i * 7 % 11, i * i % 13) for i in range(200)} | {(0, None, 4), (0, None, 5), (2, 1, None)}, key=str)
+    df = spark.createDataFrame(rows, "book int, chapter int, number int")
+    whole = runs.islands(df.withColumn("pos", F.struct("chapter", "number")), ["book"], "chapter", "number", "pos")
+    columns = ["book", "chapter", "first", "last", "n"]
+    found = runs.chapter_islands(df, ["book"], "chapter", "number")
+    assert sorted(found.select(columns).collect(), key=str) == sorted(whole.select(columns).collect(), key=str)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 60)), max_size=60), st.booleans())
 def test_positions(spark, values, descending):

@@ -39,3 +39,9 @@ def test_only_two_columns_of_the_lines_are_read(spark):
 def test_pages_are_top_k(spark):
     for name in ("search_text_page2", "search_names"):
         assert "TakeOrderedAndProject" in plan(spark, name)
+
+
+def test_runs_of_verses_are_dealt_by_chapter(spark):
+    """No window over a whole book, of which there are five."""
+    text = plan(spark, "verses_by_book")
+    assert re.search(r"hashpartitioning\(book#\d+, chapter#\d+", text) and not re.search(r"Window .*\], \[book#\d+\], \[", text)
