@@ -115,7 +115,7 @@ def single_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def period_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Years of each period, and in each the period's open events with their people; years without one stay."""
+    """Years of each period, and in each the open events of customers below 60, as its SQL has it, with their people; years without one stay."""
     cells = _events(spark, d).select("period", "year").distinct()
     events = N.some(_events(spark, d), "event", read(spark, d, "orders").where("o_orderstatus = 'P' AND o_custkey < 60"), "o_orderkey")
     people = N.along(_edges(spark, d), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
@@ -199,7 +199,7 @@ def alpha_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Events of one customer segment's first customers by year, the years in the order in which events meet them."""
+    """Events of the customers up to 100, as its SQL has it, by year, the years in the order in which events meet them."""
     events = _events(spark, d).where("cust <= 100")
     out = grouped(events, "year", ["sort_key", "event"], ["event"])
     return out.select("year", "pos", F.array_join(F.transform("rows", lambda r: r["event"].cast("string")), ",").alias("events"))
