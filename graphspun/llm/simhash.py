@@ -11,9 +11,10 @@ are then found in Spark.
 
 Two settings. near_groups() links fingerprints of one word at most `within` bits apart. near_texts() links texts that
 share `ratio` of their shingles: there the fingerprints have four words and a wide radius, for which a tree prunes
-little, so points are also cut into bands by their number of shingles: texts that share 0.8 of their
+little, so points are also cut into bands by their number of different shingles: texts that share 0.8 of their
 shingles are at most 1.25 times as long as each other, and so lie in one band or in neighbouring ones. What the
-fingerprints link is then checked: within each of their groups, texts are linked again by their sets of shingles.
+fingerprints link is then checked: within each of their groups, texts are linked again by their sets of shingles. Fingerprints and
+bands come from the same sets, so a passage that repeats more often in one of two texts does not part them.
 
 Sizes. The sample and the number of leaves grow with the square root of the number of points, so both the
 tree, which every task holds, and a leaf grow with the square root. A leaf that near copies crowd beyond `block`
@@ -74,6 +75,33 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int =
     return np.packbits(2 * ones > n, bitorder="little").view(np.uint64), n
 
 
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of a set of hashes, each of them counted once; each word of a hash is the next one of SplitMix64 from there on."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        x = hashes[at : at + (1 << 14), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fingerprints() of the sets of shingles, by which texts are checked: how often a shingle occurs in a text makes no difference."""
+
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
+            flat = np.concatenate([set_fingerprint(x, words) for x in sets]) if sets else np.empty(0, np.uint64)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * words), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "text_hash", "fp", "shingles"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp array<long>, shingles long")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, shingles): fp is the fingerprint's words as signed longs."""
 
@@ -315,7 +343,8 @@ def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingl
 
 
 def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shingle: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    rows = written(fingerprints(docs, shingle, seed, words, id_col, text_col), "fingerprints")
+    found = set_fingerprints(docs, shingle, words, id_col, text_col) if ratio else fingerprints(docs, shingle, seed, words, id_col, text_col)
+    rows = written(found, "fingerprints")
     same = ["fp", "shingles"] if ratio else ["fp"]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
     points = rows.groupBy(*same).agg(least, F.max("shingles").alias("most"))

@@ -147,6 +147,31 @@ def test_near_texts_against_all_pairs(spark, monkeypatch):
         assert {r.doc_id for r in found if r.kept} == set(top.values())
 
 
+def test_near_texts_whose_passages_repeat_differently(spark):
+    rng, rows = np.random.default_rng(4), []
+    for g in range(40):
+        words, line = ([f"r{x}" for x in rng.integers(0, 10**6, n)] for n in ((200, 10), (200, 20))[g % 2])
+        rows += [(2 * g, " ".join(words + line)), (2 * g + 1, " ".join(words + line * (6, 4)[g % 2]))]
+    assert all(alike(shingles_of(a), shingles_of(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    found = simhash.near_texts(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: d // 2 * 2 for d, _ in rows}
+
+
+def test_set_fingerprint():
+    hashes = simhash.shingle_set(" ".join(str(i * i % 977) for i in range(40_000)), 5)
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    for part in (hashes[:0], hashes[:5], hashes):
+        for k, word in enumerate(simhash.set_fingerprint(part, 4).tolist()):
+            drawn = [mixed(h + (k + 1) * 0x9E3779B97F4A7C15 & mask) for h in part.tolist()]
+            assert word == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in drawn) > len(drawn))
+
+
 def test_empty(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     assert simhash.survivors(frame(spark, [])).count() == 0
