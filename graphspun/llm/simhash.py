@@ -1,6 +1,6 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints of 64 bits a word come from the hashes of word shingles. Equal fingerprints are one point. A
+Fingerprints of 64 bits a word come from the hashes of word shingles. Equal fingerprints (of near texts: equal sets of shingles) are one point. A
 vantage-point tree, grown from a bounded sample of the points, cuts the space: each inner node has a
 vantage point and a radius, and a point goes inside or outside by its Hamming distance. Each point has one
 home leaf. Its query ball also visits those earlier leaves that the triangle bounds do not rule out, so
@@ -87,7 +87,8 @@ def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprints() of the sets of shingles, by which texts are checked: how often a shingle occurs in a text makes no difference."""
+    """fingerprints() of the sets of shingles, by which texts are checked: how often a shingle occurs in a text makes no difference.
+    digest: 128 bits of the set itself, since different sets may have one fingerprint."""
 
     ship(docs.sparkSession)
 
@@ -96,10 +97,11 @@ def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "d
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
             flat = np.concatenate([set_fingerprint(x, words) for x in sets]) if sets else np.empty(0, np.uint64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * words), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "text_hash", "fp", "shingles"])
+            digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([len(x) for x in sets], pa.int64()), digest], names=["doc_id", "text_hash", "fp", "shingles", "digest"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp array<long>, shingles long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp array<long>, shingles long, digest binary")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,10 +347,10 @@ def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingl
 def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shingle: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:
     found = set_fingerprints(docs, shingle, words, id_col, text_col) if ratio else fingerprints(docs, shingle, seed, words, id_col, text_col)
     rows = written(found, "fingerprints")
-    same = ["fp", "shingles"] if ratio else ["fp"]
+    same = ["digest", "fp", "shingles"] if ratio else ["fp"]  # with a ratio, only texts of one set are one point: all others are checked
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
     points = rows.groupBy(*same).agg(least, F.max("shingles").alias("most"))
-    points = written(points.select(F.monotonically_increasing_id().alias("point"), "fp", F.col("most").alias("shingles"), "least"), "points")
+    points = written(points.select(F.monotonically_increasing_id().alias("point"), *[c for c in same if c != "shingles"], F.col("most").alias("shingles"), "least"), "points")
     groups = components(fingerprint_links(points, within, first, ratio), "x", "y")
     if ratio:
         groups = components(verified_links(docs, points, groups, shingle, ratio, within, id_col, text_col), "x", "y")
@@ -356,8 +358,7 @@ def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shing
     tops = of_point.groupBy("top").agg(F.min("least").alias("first"))
     named = written(of_point.join(tops, "top").select(*[F.col(c).alias(f"_{c}") for c in same], "first"), "point-groups")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    on = F.col("fp") == F.col("_fp")
-    joined = rows.join(named, on & (F.col("shingles") == F.col("_shingles")) if ratio else on)
+    joined = rows.join(named, F.col("digest") == F.col("_digest") if ratio else F.col("fp") == F.col("_fp"))
     return joined.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")
 
 

@@ -157,6 +157,21 @@ def test_near_texts_whose_passages_repeat_differently(spark):
     assert {r.doc_id: r.component_id for r in found} == {d: d // 2 * 2 for d, _ in rows}
 
 
+def test_texts_that_one_repeated_line_rules_are_not_merged(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"line{i}" for i in range(11)) + " "
+    rows = [(i, line * 40 + " ".join(f"r{x}" for x in rng.integers(0, 10**6, 30))) for i in range(30)]
+    assert not alike(shingles_of(rows[0][1]), shingles_of(rows[1][1]))
+    assert {r.doc_id: r.component_id for r in simhash.near_texts(frame(spark, rows)).collect()} == {i: i for i, _ in rows}
+
+
+def test_different_sets_of_one_fingerprint_are_told_apart(spark, monkeypatch):
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "h  i j k l m N")]
+    real = simhash.set_fingerprints
+    monkeypatch.setattr(simhash, "set_fingerprints", lambda *a: real(*a).withColumn("fp", simhash.F.expr("array(0L, 0L, 0L, 0L)")))
+    assert {r.doc_id: r.component_id for r in simhash.near_texts(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_set_fingerprint():
     hashes = simhash.shingle_set(" ".join(str(i * i % 977) for i in range(40_000)), 5)
     mask = (1 << 64) - 1
