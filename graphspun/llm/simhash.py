@@ -43,6 +43,8 @@ from graphspun.llm.unionfind import Forest
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = 1 << 22
+#: Sets of at most so many shingles also meet those that have one more by their sums, and are checked up to a wider distance.
+SHORT, WIDE = 16, 96
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> tuple[np.ndarray, int]:
@@ -88,7 +90,8 @@ def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprints() of the sets of shingles, by which texts are checked: how often a shingle occurs in a text makes no difference.
-    digest: 128 bits of the set itself, since different sets may have one fingerprint."""
+    digest: 128 bits of the set itself, since different sets may have one fingerprint. own, less: of sets of at most SHORT + 1
+    shingles the sum of the hashes, and the sums without one of them; null for larger sets."""
 
     ship(docs.sparkSession)
 
@@ -98,10 +101,13 @@ def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "d
             flat = np.concatenate([set_fingerprint(x, words) for x in sets]) if sets else np.empty(0, np.uint64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * words), pa.array(flat.view(np.int64)))
             digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([len(x) for x in sets], pa.int64()), digest], names=["doc_id", "text_hash", "fp", "shingles", "digest"])
+            sums = [x.sum(dtype=np.uint64) if len(x) <= SHORT + 1 else None for x in sets]
+            own = pa.array([None if a is None else int(a.view(np.int64)) for a in sums], pa.int64())
+            less = pa.array([None if a is None else (a - x).view(np.int64) for a, x in zip(sums, sets)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([len(x) for x in sets], pa.int64()), digest, own, less], names=["doc_id", "text_hash", "fp", "shingles", "digest", "own", "less"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp array<long>, shingles long, digest binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp array<long>, shingles long, digest binary, own long, less array<long>")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,6 +261,13 @@ def fingerprint_links(points: DataFrame, within: int, first: int, ratio: float |
     return in_units(placed, ["band", "leaf"], block).applyInArrow(link, "x long, y long")
 
 
+def short_links(points: DataFrame, ratio: float) -> DataFrame:
+    """Links (x, y) from each point to those whose set is its own without one shingle, if that keeps `ratio` of it: by a join of sums, so
+    that none is missed. With few shingles the fingerprints of such texts may be far apart."""
+    less = points.where((F.col("shingles") <= SHORT + 1) & (F.col("shingles") - 1 >= F.lit(ratio) * F.col("shingles"))).select(F.col("point").alias("x"), F.explode("less").alias("_less"))
+    return less.join(points.where(F.col("shingles") <= SHORT).select(F.col("own").alias("_own"), F.col("point").alias("y")), F.col("_less") == F.col("_own")).select("x", "y")
+
+
 def in_units(rows: DataFrame, group: list[str], block: int) -> GroupedData:
     """The rows by group; groups of more than `block` rows are dealt into blocks by their point, and each pair of blocks is a unit."""
     crowded = written(rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks")).where("_blocks > 1"), "crowded")
@@ -286,7 +299,8 @@ def shared(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def checked_links(fp: np.ndarray, sets: list[np.ndarray], within: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (index, least of its group) by similarities of at least `ratio`, among pairs whose fingerprints are near.
+    """Links (index, least of its group) by similarities of at least `ratio`, among pairs whose fingerprints are near: at most `within`
+    bits apart, or WIDE where one has at most SHORT shingles.
 
     Pairs are tried nearest first, one for each row and round, and only while their groups differ: a group of n
     copies takes about n trials, and a pair is left out only if its ends are linked already.
@@ -299,7 +313,7 @@ def checked_links(fp: np.ndarray, sets: list[np.ndarray], within: int, ratio: fl
         for w in range(fp.shape[1]):
             d += np.bitwise_count(fp[at:to, w, None] ^ fp[None, :, w])
         small, large = np.minimum(size[at:to, None], size[None]), np.maximum(size[at:to, None], size[None])
-        i, j = np.nonzero((d <= within) & (small >= ratio * large) & (np.arange(at, to)[:, None] < np.arange(n)[None]))
+        i, j = np.nonzero((d <= np.where(small <= SHORT, max(within, WIDE), within)) & (small >= ratio * large) & (np.arange(at, to)[:, None] < np.arange(n)[None]))
         order = np.argsort(d[i, j], kind="stable")
         i, j = i[order] + at, j[order]
         while True:
@@ -347,18 +361,19 @@ def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingl
 def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shingle: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:
     found = set_fingerprints(docs, shingle, words, id_col, text_col) if ratio else fingerprints(docs, shingle, seed, words, id_col, text_col)
     rows = written(found, "fingerprints")
-    same = ["digest", "fp", "shingles"] if ratio else ["fp"]  # with a ratio, only texts of one set are one point: all others are checked
+    key, same = ("digest", ["digest", "fp", "shingles", "own", "less"]) if ratio else ("fp", ["fp"])  # with a ratio, only texts of one set are one point: all others are checked
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
     points = rows.groupBy(*same).agg(least, F.max("shingles").alias("most"))
     points = written(points.select(F.monotonically_increasing_id().alias("point"), *[c for c in same if c != "shingles"], F.col("most").alias("shingles"), "least"), "points")
-    groups = components(fingerprint_links(points, within, first, ratio), "x", "y")
+    links = fingerprint_links(points, within, first, ratio)
+    groups = components(links.unionByName(short_links(points, ratio)) if ratio else links, "x", "y")
     if ratio:
         groups = components(verified_links(docs, points, groups, shingle, ratio, within, id_col, text_col), "x", "y")
     of_point = points.join(groups, F.col("point") == F.col("vertex"), "left").withColumn("top", F.coalesce("component", "point"))
     tops = of_point.groupBy("top").agg(F.min("least").alias("first"))
-    named = written(of_point.join(tops, "top").select(*[F.col(c).alias(f"_{c}") for c in same], "first"), "point-groups")
+    named = written(of_point.join(tops, "top").select(F.col(key).alias("_of"), "first"), "point-groups")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    joined = rows.join(named, F.col("digest") == F.col("_digest") if ratio else F.col("fp") == F.col("_fp"))
+    joined = rows.join(named, F.col(key) == F.col("_of"))
     return joined.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")
 
 
@@ -370,11 +385,12 @@ def near_groups(docs: DataFrame, within: int = 2, shingle: int = 3, seed: int =
     return _groups(docs, within, within, None, shingle, seed, 1, id_col, text_col).withColumn("fp", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))).withColumnRenamed("fp", "fingerprint")
 
 
-def near_texts(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, within: int = 56, first: int = 22, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_texts(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, within: int = 64, first: int = 22, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id, kept, text_hash, where texts that share `ratio` of their shingles are linked.
 
     Fingerprints of 256 bits at most `within` apart find the pairs to check: two texts that share 0.8 of their
-    shingles differ in 39 bits, give or take 6, and unrelated ones in 128, give or take 8.
+    shingles differ in 38 to 41 bits, give or take 6, and unrelated ones in 128, give or take 8. Only sets of five and four differ more,
+    in 48; pairs of at most SHORT + 1 shingles of which one set has just one more than the other are found by sums, whatever their distance.
     """
     return _groups(docs, within, first, ratio, shingle, seed, 4, id_col, text_col).drop("fp")
 

@@ -172,6 +172,15 @@ def test_different_sets_of_one_fingerprint_are_told_apart(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_texts(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_no_short_near_text_is_missed(spark):
+    rng, rows = np.random.default_rng(6), []
+    for g in range(1500):
+        words = [f"s{x}" for x in rng.integers(0, 10**6, 9 + g % 4)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-1]))]
+    found = simhash.near_texts(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_set_fingerprint():
     hashes = simhash.shingle_set(" ".join(str(i * i % 977) for i in range(40_000)), 5)
     mask = (1 << 64) - 1
