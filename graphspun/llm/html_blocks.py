@@ -18,6 +18,9 @@ HIDDEN = "script|style|template|noscript|title|textarea|select|svg|iframe|object
 #: Elements that an open paragraph ends with.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+#: Names that mark what is not the article.
+OUTSIDE = frozenset("nav menu header footer aside sidebar form ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal newsletter subscribe signup comment comments reply replies disqus respond related recommended share social breadcrumb breadcrumbs pagination pager copyright legal login search widget toolbar dialog".split())
+
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
       | <(?P<hidden>{HIDDEN})\b[^>]*(?:>.*?(?:</(?P=hidden)\s*>|\Z)|\Z)
@@ -28,7 +31,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|hidden|aria-label)\s*=?\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))""", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
-#: Of more open elements than this, a block's path has the innermost.
+#: Of more open elements than this, a block's `path` has the innermost, for reading; what the labeller sees covers all.
 DEPTH = 256
 
 #: Sizes of the hashed vectors: tag path, words; then plain measures.
@@ -40,6 +43,27 @@ class Block(NamedTuple):
     text: str
     path: tuple[str, ...]
     linked: int
+    buckets: frozenset[int] = frozenset()
+    inside: bool = False
+    outside: bool = False
+
+
+class Open:
+    """Running counts of the names of all open elements: their buckets, the article or main elements, and names of OUTSIDE."""
+
+    def __init__(self):
+        self.count, self.buckets, self.inside, self.outside = [0] * PATHS, set(), 0, 0
+
+    def add(self, names: tuple[str, ...], by: int) -> None:
+        for x in names:
+            i = _bucket(x, PATHS)
+            self.count[i] += by
+            if self.count[i]:
+                self.buckets.add(i)
+            else:
+                self.buckets.discard(i)
+            self.inside += by * (x in ("article", "main"))
+            self.outside += by * (x.lstrip(".") in OUTSIDE)
 
 
 @lru_cache(1 << 16)
@@ -54,25 +78,33 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     links = linked = 0
     path: tuple[str, ...] = ()
+    around, seen = Open(), (frozenset(), False, False)
     count: Counter[str] = Counter()
     at, page = 0, page or ""
 
     def end() -> None:
         nonlocal linked
         if text := " ".join("".join(parts).split()):
-            out.append(Block(text, path, linked))
+            out.append(Block(text, path, linked, *seen))
         parts.clear()
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, path, seen
         if raw:
             if not parts:
                 path = tuple(x for _, names in open_[-DEPTH:] for x in names)
+                seen = frozenset(around.buckets), around.inside > 0, around.outside > 0
             parts.append(html.unescape(raw) if "&" in raw else raw)
             if links:
                 linked += len(raw.strip())
 
+    def close() -> str:
+        tag, names = open_.pop()
+        count[tag] -= 1
+        around.add(names, -1)
+        return tag
+
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
@@ -89,16 +121,15 @@ def blocks(page: str | None) -> list[Block]:
             end()
             if m["close"]:
                 while count[tag]:
-                    last = open_.pop()[0]
-                    count[last] -= 1
-                    if last == tag:
+                    if close() == tag:
                         break
             else:
                 if tag in ENDS_P and open_ and open_[-1][0] == "p" or tag == "li" and open_ and open_[-1][0] == "li":
-                    count[open_.pop()[0]] -= 1
+                    close()
                 if tag not in VOID and not m["rest"].endswith("/"):
                     open_.append((tag, (tag, *_names(m["rest"]))))
                     count[tag] += 1
+                    around.add(open_[-1][1], 1)
     say(page[at:])
     end()
     return out
@@ -110,14 +141,12 @@ def _bucket(name: str, size: int) -> int:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row per block: hashed tag path, hashed first and last words, and measures of length, links and place."""
+    """One row per block: hashed tag path, hashed words, and measures of length, links and place."""
     x = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
-        for p in b.path:
-            x[i, _bucket(p, PATHS)] = 1
-        words = b.text.split(" ", 12)
-        for w in words[:12]:
-            x[i, PATHS + _bucket(w.lower(), WORDS)] += 1 / len(words)
+        x[i, list(b.buckets)] = 1
+        words = b.text.split(" ")
+        x[i, PATHS : PATHS + WORDS] = np.bincount([_bucket(w.lower(), WORDS) for w in words], minlength=WORDS) / len(words)
         n = len(b.text)
         x[i, PATHS + WORDS :] = (1, min(n, 1000) / 1000, np.log1p(n) / 10, b.linked / n, i / len(page), b.text.count(" ") / n, b.text[-1] in ".!?…", len(page) / (len(page) + 20))
     return x

@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspun.llm.common import ship
-from graphspun.llm.html_blocks import PATHS, WIDTH, WORDS, Block, blocks, features
+from graphspun.llm.html_blocks import OUTSIDE, PATHS, WIDTH, WORDS, Block, blocks, features
 
-#: Names that mark what is not the article, and those that mark the article.
-OUTSIDE = frozenset("nav menu header footer aside sidebar form ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal newsletter subscribe signup comment comments reply replies disqus respond related recommended share social breadcrumb breadcrumbs pagination pager copyright legal login search widget toolbar dialog".split())
+#: Names that mark the article.
 INSIDE = frozenset("article main content post entry story body text".split())
 
 
@@ -125,10 +124,9 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int
 
 def clear_labels(page: list[Block]) -> np.ndarray | None:
     """Labels of a page that has an article or main element: inside it, and inside nothing that is marked as not the article. None without one."""
-    if not any("article" in b.path or "main" in b.path for b in page):
+    if not any(b.inside for b in page):
         return None
-    inside = [("article" in b.path or "main" in b.path) and not any(p.lstrip(".") in OUTSIDE for p in b.path) for b in page]
-    return np.array(inside, np.float32)
+    return np.array([b.inside and not b.outside for b in page], np.float32)
 
 
 def template_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[bool]]:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from graphspun.llm import html_text
-from graphspun.llm.html_blocks import Block, blocks
+from graphspun.llm.html_blocks import PATHS, WORDS, Block, _bucket, blocks, features
 
 SCHEMA = "page_id long, url string, html string, text int, n_chars string"
 
@@ -25,6 +25,19 @@ def test_blocks():
     assert [(b.text, len(b.path)) for b in deep] == [("deep", 256), ("end", 0)]
 
 
+def test_features_cover_all_words_and_all_open_elements():
+    same = " ".join(f"w{i}" for i in range(12))
+    a, b = (features(blocks(f"<p>{same} {x}</p>"))[0, PATHS : PATHS + WORDS] for x in ("subscribe to our newsletter today", "the river rose in spring there"))
+    assert abs(a.sum() - 1) < 1e-5 and (a != b).any()
+    for n in (3, 300, 5000):
+        deep = blocks("<article><aside>" + "<td>" * n + "x" + "</td>" * n + "</aside><p>y</article><p>z")
+        assert [(x.inside, x.outside) for x in deep] == [(True, True), (True, False), (False, False)]
+        seen = features(deep)[:, :PATHS]
+        names = (("article", "aside", "td"), ("article", "p"), ("p",))
+        assert [set(np.flatnonzero(row)) for row in seen] == [{_bucket(x, PATHS) for x in of} for of in names]
+        assert html_text.clear_labels(deep).tolist() == [0, 1, 0]
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     model = html_text.Labeller(hidden=3)
