@@ -1,18 +1,17 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Each language has a model of character 4-grams over letters (all else is a space), trained on all its
-documents. The models lie side by side in one sorted array of n-grams: a row has the log probability in
-every language, so a text is looked up once. The language with the lowest cross-entropy per character is chosen.
-The score is a posterior whose sharpness is calibrated on documents kept from training; a text whose
-cross-entropy is beyond nearly all of its language's calibration documents is marked rejected.
+Each language has a model of character 4-grams over letters (all else is a space), in shards of sorted key arrays that hold
+every language's n-grams, all of them. Texts meet the shards in lots (see kn_shards). The language with the lowest
+cross-entropy per character is chosen. The score is a posterior whose sharpness is calibrated on documents kept from training; a
+text whose cross-entropy is beyond nearly all of its language's calibration documents is marked rejected.
 
-Sizes. Counts are summed in Spark over all documents. What is held by every task is bounded: at most
-`most` n-grams a language, those that occur most often, and for more than four languages fewer. Calibration
-takes at most `calibration` documents.
+Sizes. Counts are summed in Spark over all documents, and no n-gram is left out. Calibration takes the least hashes of each 64th
+different text, `calibration` at most; all other labelled documents are learned from, and all of a language of
+which calibration would take more than half.
 
 Defined results. Text null or without letters: `und`, score 0. Id null: such rows are used for training. Lang null or
 `und`: never learned. No language learned: every row is `und`. Ties: the first language in code-point order. Repeated rows: each
-counts and is listed. Very long texts are scored in segments. Other columns are not looked at.
+counts and is listed. Very long texts are scored whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,57 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import plain_text, ship, written
-from graphspun.llm.kneser_ney import CODES, SPACE, grams, logp, train
-from graphspun.llm.ngram_counts import ngram_counts, segments, table_of
+from graphspun.llm.common import plain_text, ship
+from graphspun.llm.kn_shards import Sharded, score, train_shards
 
 ORDER = 4
 
 
 class Models(NamedTuple):
-    langs: list[str]
-    levels: list[list]
-    keys: np.ndarray
-    table: np.ndarray
-    sharpness: float = 1.0
-    worst: tuple[float, ...] = ()
-
-    def totals(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Sum of log probabilities of each text (rows) in each language (columns)."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        p = self.table[at]
-        if len(new := np.flatnonzero(self.keys[at] != keys)):
-            distinct, of = np.unique(keys[new], return_inverse=True)
-            p[new] = np.stack([logp(x, distinct) for x in self.levels], axis=1)[of]
-        ends = np.cumsum(size)
-        out = np.zeros((len(size), len(self.langs)))
-        some = size > 0
-        if some.any():
-            out[some] = np.add.reduceat(p, (ends - size)[some], axis=0, dtype=np.float64)
-        return out
-
-
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models of sorted (keys, counts) by language."""
-    langs = sorted(counts)
-    levels = [train(*counts[x], ORDER) for x in langs]
-    keys = np.unique(np.concatenate([counts[x][0] for x in langs]))
-    return Models(langs, levels, keys, np.stack([logp(x, keys) for x in levels], axis=1))
-
-
-def cross_entropies(models: Models, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cross-entropy per character by text and language, characters, whether there is a letter)."""
-    total, chars, letters = np.zeros((len(texts), len(models.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-    table = table_of(True)
-    for lot, owner in segments(texts):
-        keys, size = grams(lot, ORDER, table)
-        np.add.at(total, owner, models.totals(keys, size))
-        np.add.at(chars, owner, size)
-        seen = np.concatenate(([0], np.cumsum(keys & (CODES - 1) != SPACE)))
-        ends = np.cumsum(size)
-        np.logical_or.at(letters, owner, seen[ends] > seen[ends - size])
-    return -total / np.maximum(chars, 1)[:, None], chars, letters
+    """The sharded models, and what calibration found: sharpness of the posterior, and each language's highest accepted cross-entropy."""
+
+    sharded: Sharded
+    sharpness: float
+    worst: tuple[float, ...]
 
 
 def posterior(cross: np.ndarray, chars: np.ndarray, sharpness: float) -> np.ndarray:
@@ -85,39 +45,39 @@ def posterior(cross: np.ndarray, chars: np.ndarray, sharpness: float) -> np.ndar
     return x / x.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame, most: int = 1 << 21, calibration: int = 4096, quantile: float = 0.999) -> Models | None:
-    """Models of rows (lang, text); each 64th document by its text's hash, up to `calibration`, is for calibration only."""
-    spark = docs.sparkSession
-    aside = F.pmod(F.xxhash64("text"), F.lit(64)) == 0
-    known = docs.where("lang is not null and lang <> 'und'")
-    counts = written(ngram_counts(known.where(~aside), ORDER, letters=True), "letter-counts")
-    types = {r["lang"]: r["types"] for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("types")).collect()}
-    if not types:
+def set_aside(known: DataFrame, calibration: int) -> Column:
+    """Which rows of (lang, text) are for calibration only: those of the `calibration` least hashes of each 64th different text, but none of a language that would lose more than half of its rows."""
+    h = F.xxhash64("text")
+    drawn = (F.pmod(h, F.lit(64)) == 0) & F.col("text").isNotNull()
+    least = known.where(drawn).select(h.alias("h")).distinct().orderBy("h").limit(calibration)
+    top = least.agg(F.max("h")).first()[0]
+    if top is None:
+        return F.lit(False)
+    aside = drawn & (h <= F.lit(top))
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(aside.cast("long")).alias("a")).where("2 * a > n").select("lang").collect()
+    return F.coalesce(aside & ~F.col("lang").isin([r[0] for r in most]) if most else aside, F.lit(False))
+
+
+def fit(docs: DataFrame, calibration: int = 4096, quantile: float = 0.999) -> Models | None:
+    """Models of rows (lang, text); None if there is no language to learn."""
+    known = docs.where("lang is not null and lang <> 'und'").select("lang", "text")
+    aside = set_aside(known, calibration)
+    sharded = train_shards(known.where(~aside), ORDER, letters=True)
+    langs = sharded.langs
+    if not langs:
         return None
-    each = max(1 << 14, min(most, (most << 4) // len(types) ** 2))
-    for lang, n in types.items():
-        if n > each:
-            cut = counts.where(F.col("lang") == lang).agg(F.percentile_approx("n", F.lit(1 - each / n), F.lit(10_000))).first()[0]
-            counts = counts.where((F.col("lang") != lang) | (F.col("n") > cut))
-    found = {lang: (x["key"].to_numpy(), x["n"].to_numpy()) for lang, x in counts.toArrow().to_pandas().sort_values("key").groupby("lang")}
-    models = build(found)
-    held = spark.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cross, chars, letters = cross_entropies(held.value, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_pydict({"lang": b.column(0), "chars": pa.array(np.where(letters, chars, 0)), "cross": pa.array(cross.tolist(), pa.list_(pa.float64()))})
-
-    rows = known.where(aside & F.col("text").isNotNull()).select("lang", "text").limit(calibration).mapInArrow(score, "lang string, chars long, cross array<double>").toPandas()
-    rows = rows[(rows["chars"] > 0) & rows["lang"].isin(models.langs)]
+    kept = known.where(aside).dropDuplicates(["lang", "text"])
+    rows = score(kept, sharded).where("letters").toPandas()
+    rows = rows[rows["lang"].isin(langs)]
     if not len(rows):
-        return models._replace(worst=(float("inf"),) * len(models.langs))
-    cross, chars = np.stack(rows["cross"]), rows["chars"].to_numpy()
-    own = np.array([models.langs.index(x) for x in rows["lang"]])
+        return Models(sharded, 1.0, (float("inf"),) * len(langs))
+    chars = rows["n_chars"].to_numpy()
+    cross = -np.stack(rows["totals"]) / chars[:, None]
+    own = np.array([langs.index(x) for x in rows["lang"]])
     loss = lambda s: -np.log(np.maximum(posterior(cross, chars, s)[np.arange(len(own)), own], 1e-12)).mean()
     sharpness = min((float(s) for s in np.geomspace(0.25, 16, 25)), key=loss)
-    worst = tuple(float(np.quantile(cross[own == i, i], quantile)) * 1.25 if (own == i).any() else float("inf") for i in range(len(models.langs)))
-    return models._replace(sharpness=sharpness, worst=worst)
+    worst = tuple(float(np.quantile(cross[own == i, i], quantile)) * 1.25 if (own == i).any() else float("inf") for i in range(len(langs)))
+    return Models(sharded, sharpness, worst)
 
 
 def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,20 +86,20 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
     if models is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    langs, sharpness, worst = models.sharded.langs, models.sharpness, np.array(models.worst)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for b in batches:
-            cross, chars, letters = cross_entropies(m, b.column(1).to_pylist())
+            chars, letters = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            cross = -b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(langs)) / np.maximum(chars, 1)[:, None]
             best = cross.argmin(1)
             at = np.arange(len(best))
-            p = np.where(letters, posterior(cross, chars, m.sharpness)[at, best], 0.0)
+            p = np.where(letters, posterior(cross, chars, sharpness)[at, best], 0.0)
             lowest = cross[at, best]
-            names = [m.langs[i] if x else "und" for i, x in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(p), pa.array(lowest, mask=~letters), pa.array(~letters | (lowest > np.array(m.worst)[best]))], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            names = [langs[i] if x else "und" for i, x in zip(best, letters)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(p), pa.array(lowest, mask=~letters), pa.array(~letters | (lowest > worst[best]))], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return score(rows, models.sharded).select("doc_id", "n_chars", "letters", "totals").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,4 +1,4 @@
-"""Counts of character n-grams of a whole corpus, by group."""
+"""Character n-grams of texts, and their counts over a whole corpus, by group."""
 
 from __future__ import annotations
 
@@ -12,27 +12,53 @@ from pyspark.sql import functions as F
 from graphspun.llm.common import ship
 from graphspun.llm.kneser_ney import counted, grams, letter_table, raw_table
 
-#: Characters that are held at once; longer texts go in segments of this length, each of which begins anew.
+#: Characters that are held at once. Longer texts are read in pieces; a piece sees what stands before it, so its n-grams are those of the whole text.
 SEGMENT = 1 << 20
 
 
-def segments(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """(segments, number of the text of each) in lots of about SEGMENT characters."""
-    lot, owner, held = [], [], 0
+def table_of(letters: bool) -> np.ndarray:
+    return letter_table() if letters else raw_table()
+
+
+def _before(text: str, at: int, order: int, table: np.ndarray) -> tuple[str, int]:
+    """The end of text[:at] that has order-1 characters at least once its runs of spaces are one, and how many it has."""
+    reach = 8 * order
+    while True:
+        part = text[max(0, at - reach) : at]
+        n = len(grams([part], 1, table)[0])
+        if n >= order - 1 or reach >= at:
+            return part, n
+        reach *= 2
+
+
+def gram_lots(texts: list[str], order: int, table: np.ndarray, segment: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, number of keys of each piece, number of the text of each piece), in lots of about `segment` characters."""
+    segment = segment or SEGMENT
+    lot, owner, skip, held = [], [], [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, size = grams(lot, order, table)
+        over = np.array(skip)
+        if over.any():
+            first = np.cumsum(size) - size
+            keep = np.ones(len(keys), bool)
+            for i in np.flatnonzero(over):
+                keep[first[i] : first[i] + over[i]] = False
+            keys, size = keys[keep], size - over
+        return keys, size, np.array(owner)
+
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), SEGMENT):
-            lot.append(t[at : at + SEGMENT])
+        for at in range(0, max(1, len(t)), segment):
+            before, n = _before(t, at, order, table) if at else ("", 0)
+            lot.append(before + t[at : at + segment])
             owner.append(i)
+            skip.append(n)
             held += len(lot[-1])
-            if held >= SEGMENT:
-                yield lot, owner
-                lot, owner, held = [], [], 0
+            if held >= segment:
+                yield out()
+                lot, owner, skip, held = [], [], [], 0
     if lot:
-        yield lot, owner
-
-
-def table_of(letters: bool) -> np.ndarray:
-    return letter_table() if letters else raw_table()
+        yield out()
 
 
 def ngram_counts(docs: DataFrame, order: int, letters: bool, keep: int = 1 << 21) -> DataFrame:
@@ -51,8 +77,8 @@ def ngram_counts(docs: DataFrame, order: int, letters: bool, keep: int = 1 << 21
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                for lot, _ in segments([texts[i] for i in np.flatnonzero(langs == lang)]):
-                    held.setdefault(lang, []).append(counted(grams(lot, order, table)[0]))
+                for keys, _, _ in gram_lots([texts[i] for i in np.flatnonzero(langs == lang)], order, table):
+                    held.setdefault(lang, []).append(counted(keys))
                     if sum(len(k) for k, _ in held[lang]) >= keep:
                         merged = counted(*(np.concatenate(x) for x in zip(*held[lang])))
                         held[lang] = [merged]

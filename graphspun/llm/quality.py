@@ -1,32 +1,26 @@
 """Quality classifier: perplexity under an n-gram model of trusted text, against quantiles by language.
 
 The model is character 5-grams with interpolated modified Kneser-Ney smoothing, one per language, trained
-on all trusted text but a quarter of the documents that is held out. Counts stay in Spark: those of three characters
-and more are sharded by language and by the two characters before the last, since every such n-gram and context that one
-probability needs is in one shard, which is joined with its pairs; only discounts and single characters are
-global. Documents then meet the shards of the model
-in turn: each pass holds a shard of bounded size, and a document's log probability is the sum over the
-passes. A document is kept if its mean is no worse than a high quantile of the held-out trusted documents
-of its language and length class.
-
-Defined results. Text null: empty. No characters, or a language that is null or without a model: no
-perplexity, kept. Too few held-out documents in a length class: the language's quantile; in the language: kept. Id
+on all trusted text but a quarter of the documents that is held out. Its counts lie in shards, and the documents' n-grams are joined
+with them, lot by lot (see kn_shards); a document's log probability adds up what the join brings. A document is kept if its mean is no
+worse than a high quantile of the held-out trusted documents of its language and length class.
+
+Defined results. Trusted is an id that some label calls quality 1 and none calls another quality or toxic; labels that contradict each
+other make it untrusted, and a null quality or toxic says nothing. Toxic documents are not learned from; nothing else is done to them,
+since the model judges how a text is written. Text null: empty. No characters, or a language that is null or without a model: no
+perplexity, kept. Too few held-out documents in a length class: the language's quantile; in the language: the quantile of all languages'
+distances from their means, added to the language's mean; in all of them, or none in the language: kept. Id
 null: never trusted, judged like any other. Repeated rows: each is judged. No labels, or an empty table: all rows are
-kept. Texts longer than a segment are scored in segments. Other columns are not looked at.
+kept. Texts of any length are scored whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import kept_rows, plain_text, row_key, ship, written
-from graphspun.llm.kneser_ney import BITS, CODES, Level, discounts, grams, logp, train
-from graphspun.llm.ngram_counts import ngram_counts, segments, table_of
+from graphspun.llm.common import kept_rows, plain_text, row_key, written
+from graphspun.llm.kn_shards import score, train_shards
 
 ORDER = 5
 #: Upper ends of the length classes, in characters.
@@ -37,122 +31,37 @@ def _held_out(doc_id: str = "doc_id") -> F.Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.lit(4)) == 3
 
 
-def train_model(trusted: DataFrame) -> tuple[DataFrame, dict[str, Level]]:
-    """The sharded model (lang, last, level, context, key, value) and the single characters of each language, from rows of (lang, text)."""
-    counts = written(ngram_counts(trusted, ORDER, letters=False), "ngram-counts")
-    level, tables = counts, {ORDER: counts}
-    for n in range(ORDER - 1, 0, -1):
-        level = tables[n] = level.groupBy("lang", F.col("key").bitwiseAND((1 << BITS * n) - 1).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    once = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    found = {n: {r["lang"]: discounts(*(r[f"n{i}"] for i in (1, 2, 3, 4))) for r in t.groupBy("lang").agg(*once).collect()} for n, t in tables.items()}
-    singles: dict[str, Level] = {}
-    for lang, rows in tables[1].toPandas().groupby("lang"):  # at most CODES rows for a language
-        rows = rows.sort_values("key")
-        singles[lang] = train(rows["key"].to_numpy(), rows["n"].to_numpy(), 1, lambda n, c, d=found[1][lang]: d)[0]
-
-    def rows(table: pa.Table, levels: list[Level], first: int) -> pa.Table:
-        parts = [(n, context, keys, values) for n, x in enumerate(levels[first - 1 :], first) for context, keys, values in ((False, x.keys, x.logp), (True, x.contexts, x.left))]
-        size = [len(p[2]) for p in parts]
-        at = pa.array(np.zeros(sum(size), np.int32))
-        return pa.table({"lang": table.column("lang").take(at), "last": table.column("last").take(at), "level": np.repeat([p[0] for p in parts], size).astype(np.int32), "context": np.repeat([p[1] for p in parts], size), "key": np.concatenate([p[2] for p in parts]), "value": np.concatenate([p[3] for p in parts]).astype(np.float32)})
-
-    def pair_shard(table: pa.Table) -> pa.Table:
-        lang, table = table.column("lang")[0].as_py(), table.sort_by("key")
-        return rows(table, train(table.column("key").to_numpy(), table.column("n").to_numpy(), 2, lambda n, c: found[n][lang], [singles[lang]]), 2)
-
-    def shard(table: pa.Table, pairs: pa.Table) -> pa.Table:
-        lang, table, pairs = table.column("lang")[0].as_py(), table.sort_by("key"), pairs.sort_by("key").to_pandas()
-        own, context = pairs[~pairs["context"]], pairs[pairs["context"]]
-        second = Level(own["key"].to_numpy(), own["value"].to_numpy(), context["key"].to_numpy(), context["value"].to_numpy())
-        return rows(table, train(table.column("key").to_numpy(), table.column("n").to_numpy(), ORDER, lambda n, c: found[n][lang], [singles[lang], second]), 3)
-
-    schema = "lang string, last int, level int, context boolean, key long, value float"
-    code = lambda at: F.shiftright("key", BITS * at).bitwiseAND(CODES - 1).cast("int")
-    second = written(tables[2].withColumn("last", code(1)).groupBy("lang", "last").applyInArrow(pair_shard, schema), "ngram-pairs")
-    sharded = counts.withColumn("last", code(1)).withColumn("prev", code(2))
-    wanted = sharded.groupBy("lang", "last", "prev").agg(F.count(F.lit(1)).alias("types")).select(F.col("lang").alias("_lang"), F.col("last").alias("_last"), F.col("prev").alias("_prev"))
-    pairs = wanted.join(second, (F.col("lang") == F.col("_lang")) & (F.col("last") == F.col("_last"))).select("_lang", "_prev", "_last", "context", "key", "value")
-    longer = sharded.groupBy("lang", "prev", "last").cogroup(pairs.groupBy("_lang", "_prev", "_last")).applyInArrow(shard, schema)
-    return written(second.unionByName(longer), "ngram-model"), singles
-
-
-def _levels(table: pa.Table, singles: dict[str, Level]) -> dict[str, list[Level]]:
-    rows = table.set_column(table.column_names.index("lang"), "lang", table.column("lang").dictionary_encode()).to_pandas().sort_values("key")
-    out = {lang: [one] for lang, one in singles.items()}
-    parts = dict(list(rows.groupby(["lang", "level", "context"], observed=True)))
-    empty = rows.iloc[:0]
-    for lang, levels in out.items():
-        for n in range(2, ORDER + 1):
-            own, ctx = parts.get((lang, n, False), empty), parts.get((lang, n, True), empty)
-            levels.append(Level(own["key"].to_numpy(), own["value"].to_numpy(), ctx["key"].to_numpy(), ctx["value"].to_numpy()))
-    return out
-
-
-def log_probabilities(docs: DataFrame, model: DataFrame, singles: dict[str, Level], shard_rows: int = 1 << 21) -> DataFrame:
-    """(doc_id, text_hash, lang, n_chars, total): the log probability of each text in its language's model, null where there is none."""
-    spark = docs.sparkSession
-    ship(spark)
-    shards = max(1, -(-model.count() // shard_rows))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for s in range(shards):
-        own = model.where(F.pmod(F.hash("last"), F.lit(shards)) == s) if shards > 1 else model
-        held = spark.sparkContext.broadcast(_levels(own.drop("last").toArrow(), singles))
-        lasts = np.zeros(CODES, bool)
-        if shards > 1:
-            lasts[[r[0] for r in spark.range(CODES).where(F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards)) == s).collect()]] = True
-        else:
-            lasts[:] = True
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, lasts=lasts) -> Iterator[pa.RecordBatch]:
-            table = table_of(False)
-            for b in batches:
-                langs, texts = np.array(b.column(2).to_pylist(), object), b.column(3).to_pylist()
-                total, chars = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-                for lang, levels in held.value.items():
-                    which = np.flatnonzero(langs == lang)
-                    for lot, owner in segments([texts[i] for i in which]):
-                        keys, size = grams(lot, ORDER, table)
-                        mine = lasts[keys >> BITS & (CODES - 1)]
-                        p = np.zeros(len(keys))
-                        p[mine] = logp(levels, keys[mine])
-                        sums = np.concatenate(([0.0], np.cumsum(p)))[np.concatenate(([0], np.cumsum(size)))]
-                        np.add.at(total, which[owner], np.diff(sums))
-                        np.add.at(chars, which[owner], size)
-                none = pa.array(chars == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(chars), pa.array(total, mask=np.asarray(chars == 0))], names=["doc_id", "text_hash", "lang", "n_chars", "total"]) if len(none) else b.slice(0, 0)
-
-        passes.append(docs.select("doc_id", "text_hash", "lang", "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, lang string, n_chars long, total double"))
-    if shards == 1:
-        return passes[0]
-    # Rows that are alike add up, and are as many again afterwards.
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
-    summed = both.groupBy("doc_id", "text_hash", "lang", "n_chars").agg((F.sum("total") * shards / F.count(F.lit(1))).alias("total"), (F.count(F.lit(1)) / shards).cast("int").alias("_times"))
-    return summed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_", "_times")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id) of labels (doc_id, quality, toxic): called good, and by no label anything else."""
+    says = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) == 1
+    quality, toxic = F.col("quality"), F.col("toxic")
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(says(quality == 1).alias("_good"), says((quality != 1) | (toxic != 0)).alias("_bad")).where("_good and not _bad").select("doc_id")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 40, broadcast_ids: int = 500_000, shard_rows: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 40, broadcast_ids: int = 500_000, lot_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, n_chars, perplexity (of a character), threshold, kept, text_hash.
 
-    labels: doc_id, quality, toxic; trusted are quality 1 and toxic 0. At most `broadcast_ids` of their ids are
-    broadcast; more are joined by a shuffle. `least`: held-out documents that a quantile needs.
+    labels: doc_id, quality, toxic. At most `broadcast_ids` of the trusted ids are broadcast; more are joined by a
+    shuffle. `least`: held-out documents that a quantile needs. `lot_chars`: characters that meet the model at once.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(lang_col).cast("string").alias("lang"), plain_text(text_col).alias("text"))
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    trusted = written(trusted_ids(labels), "trusted")
     learn = trusted.where(~_held_out())
     side = F.broadcast(learn) if learn.count() <= broadcast_ids else learn
-    model, singles = train_model(rows.select("doc_id", "lang", "text").join(side, "doc_id", "left_semi"))
-    scored = log_probabilities(rows, model, singles, shard_rows).withColumn("cross", -F.col("total") / F.col("n_chars"))
+    model = train_shards(rows.select("doc_id", "lang", "text").join(side, "doc_id", "left_semi"), ORDER, letters=False)
     classes = F.lit(len(CLASSES))
     for i, end in reversed(list(enumerate(CLASSES))):
         classes = F.when(F.col("n_chars") < end, F.lit(i)).otherwise(classes)
-    scored = written(scored.withColumn("class", classes), "perplexities")
-    known = scored.where("cross is not null").join(trusted.where(_held_out()), "doc_id", "left_semi")
-    limit = F.when(F.count(F.lit(1)) >= least, F.percentile_approx("cross", F.lit(quantile), F.lit(10_000))).alias("limit")
+    cross = -F.get("totals", F.lit(0)) / F.col("n_chars")
+    scored = score(rows, model, "lang", lot_chars).withColumn("cross", cross).withColumn("class", classes).drop("letters", "totals")
+    scored = written(scored, "perplexities")
+    known = scored.where("cross is not null").join(trusted.where(_held_out()), "doc_id", "left_semi").select("lang", "class", "cross")
+    of = F.percentile_approx("cross", F.lit(quantile), F.lit(10_000))
+    limit = F.when(F.count(F.lit(1)) >= least, of).alias("limit")
     by_class = known.groupBy("lang", "class").agg(limit)
-    by_lang = known.groupBy("lang").agg(limit.alias("lang_limit"))
+    by_lang = known.groupBy("lang").agg(limit.alias("lang_limit"), F.avg("cross").alias("mean"))
+    apart = known.join(F.broadcast(by_lang), "lang").select((F.col("cross") - F.col("mean")).alias("cross")).agg(limit.alias("apart")).first()["apart"]
+    by_lang = by_lang.select("lang", F.coalesce("lang_limit", F.col("mean") + F.lit(apart).cast("double")).alias("lang_limit"))
     # A few rows for each language that has a model; those languages are held by the driver already.
     joined = scored.join(F.broadcast(by_class), ["lang", "class"], "left").join(F.broadcast(by_lang), "lang", "left")
     threshold = F.coalesce("limit", "lang_limit")

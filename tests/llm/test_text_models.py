@@ -127,7 +127,7 @@ def quality_rows():
     return good, bad
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard_rows": 300}, {"broadcast_ids": 0}])
+@pytest.mark.parametrize("settings", [{}, {"lot_chars": 3000}, {"broadcast_ids": 0}])
 def test_quality(spark, settings):
     good, bad = quality_rows()
     odd = [(8001, None, "en"), (8002, "", "de"), (8003, "### %%% &&&", "xx"), (8004, "some text", None), (None, good[0][1], "en"), (good[4][0], good[4][1], "en")]
