@@ -37,6 +37,23 @@ def range_label(first_title: Column, first_ref: Column, last_ref: Column) -> Col
     return F.concat(first_title, F.lit("-"), chapter, ref_part(last_ref, 3))
 
 
+def plain_range_label(first_title: Column, last_ref: Column) -> Column:
+    """range_label() without a look at the chapters: first title, a hyphen and the last verse."""
+    return F.concat(first_title, F.lit("-"), ref_part(last_ref, 3))
+
+
+def shown_if(rows: Column, content: Column) -> Column:
+    """A part of a page that is there only if its list holds anything; null if not."""
+    return F.when(F.size(rows) > 0, content)
+
+
+def merged(record: Column, **values: Column) -> Column:
+    """A record with some of its fields replaced, and new ones added."""
+    for name, value in values.items():
+        record = record.withField(name, value)
+    return record
+
+
 def optional_join(*parts: Column) -> Column:
     """The parts that are there, with a space between; null if none is."""
     there = F.concat_ws(" ", *parts)
@@ -78,12 +95,16 @@ def mention_card(count: Column, first_ref: Column) -> Column:
     return F.concat(count.cast("string"), F.lit(" verses."), F.coalesce(F.concat(F.lit(" First mentioned in "), first_ref), F.lit("")))
 
 
+#: A book's name of one or more words, perhaps with a number before it.
+_BOOK = r"^\s*([0-9]\s*)?\p{L}+\.?(\s+\p{L}+\.?)*\s+[0-9]+"
+
+
 def input_kind(text: Column) -> Column:
-    """What a search text looks like: short, reference, chapter or phrase."""
+    """What a search text looks like: short, reference (a verse or a range of verses), chapter or phrase."""
     return (
         F.when(F.length(text) < 3, "short")
-        .when(text.rlike(r"^\s*([1-3]\s)?\p{L}+\s+[0-9]+:[0-9]+\s*$"), "reference")
-        .when(text.rlike(r"^\s*([1-3]\s)?\p{L}+\s+[0-9]+\s*$"), "chapter")
+        .when(text.rlike(_BOOK + r"\s*:\s*[0-9]+(\s*[-–]\s*[0-9]+)?\s*$"), "reference")
+        .when(text.rlike(_BOOK + r"\s*$"), "chapter")
         .otherwise("phrase")
     )
 

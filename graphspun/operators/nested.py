@@ -25,8 +25,13 @@ def collected(children: DataFrame, key: str, order: Sequence[str], fields: Seque
     return children.where(F.col(key).isNotNull()).groupBy(key).agg(in_order(gather(row), len(sort)).alias(name))
 
 
-def expand(parents: DataFrame, key: str, children: DataFrame, child_key: str, order: Sequence[str], fields: Sequence[str], name: str, distinct: bool = True) -> DataFrame:
-    """`parents` with the list `name` of their children; an empty list where there are none."""
+def expand(parents: DataFrame, key: str, children: DataFrame, child_key: str, order: Sequence[str], fields: Sequence[str], name: str, distinct: bool = True, narrow: bool = False) -> DataFrame:
+    """`parents` with the list `name` of their children; an empty list where there are none.
+
+    narrow: where few parents are left, only their children are collected: they meet the parents' keys in a semi join first.
+    """
+    if narrow:
+        children = some(children, child_key, parents, key)
     kind = children.select(F.struct(*fields).alias("x")).schema["x"].dataType.simpleString()
     lists = collected(children.withColumn("_key", F.col(child_key)), "_key", order, fields, name, distinct)
     joined = parents.join(lists, F.col(key) == F.col("_key"), "left").drop("_key")
@@ -49,11 +54,17 @@ def single(parents: DataFrame, key: str, edge: DataFrame, edge_key: str, to: str
     return some(parents, key, once, edge_key)
 
 
-def others(edge: DataFrame, of: str, by: str) -> DataFrame:
-    """(of, by, other): for each pair of the edge table the other members that share `by`, not itself."""
-    pairs = edge.select(of, by).distinct()
-    mate = pairs.select(F.col(of).alias("other"), F.col(by).alias("_by"))
-    return pairs.join(mate, (F.col(by) == F.col("_by")) & (F.col(of) != F.col("other"))).drop("_by")
+def others(edge: DataFrame, of: str, *by: str) -> DataFrame:
+    """(of, by, other): for each row of the edge table the other members that share all columns `by`, not itself.
+
+    The result has as many rows as there are such pairs, so a `by` with very many members makes very many; a narrower `by` is the way to fewer.
+    """
+    pairs = edge.select(of, *by).distinct()
+    mate = pairs.select(F.col(of).alias("other"), *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)])
+    same = F.col(of) != F.col("other")
+    for i, b in enumerate(by):
+        same = same & (F.col(b) == F.col(f"_by{i}"))
+    return pairs.join(mate, same).drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def first_related(children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], count: str | None = None) -> DataFrame:

@@ -8,36 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphspun.sources.scratch import written
+
 
 def nulls_last(name: str, descending: bool = False) -> Column:
     return F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
 
 
-def numbered(df: DataFrame, by: str, tie: Sequence[str], descending: bool = False, out: str = "pos", rows_each: int = 100_000, sample: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, by: str, tie: Sequence[str], descending: bool = False, out: str = "pos") -> DataFrame:
     """Adds the row's position from 1 in the order of `by`, nulls last, then `tie`.
 
-    Not by a window over everything, which is one task: borders are taken from a bounded sample, rows are counted
-    between the borders, and each is numbered within its borders. The borders are constants in the plan, so
-    a task that is run again deals its rows alike. Rows of one value stay together.
+    Not by a window over everything, which is one task: rows are dealt into ranges of (by, tie), sorted and written once to the shared
+    folder with their place in the range. The rows before a range are the sum of the ranges' counts, of which there are as many as partitions.
     """
-    n = df.count()
-    keep = max(1, n // sample)
-    borders: list = []
-    if n > rows_each:
-        drawn = sorted(r[0] for r in df.where(F.col(by).isNotNull() & (F.pmod(F.xxhash64(by, *tie), F.lit(keep)) == 0)).select(by).collect())
-        step = max(1, len(drawn) * rows_each // n)
-        borders = sorted(set(drawn[step::step]))
     order = [nulls_last(by, descending), *[F.col(t) for t in tie]]
-    if not borders:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col(by)))
-    part = F.when(F.col(by).isNull(), F.lit(len(borders) + 1)).otherwise(F.lit(len(borders)) - part if descending else part)
-    dealt = df.withColumn("_part", part)
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("_part").alias("_of"), before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_own", own).join(offsets, F.col("_part") == F.col("_of")).withColumn(out, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_of", "_own", "_before")
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranges = written(ranges, "positions")  # the id is the partition's number, then 33 bits of the row's
+    counts = ranges.groupBy(F.shiftright("_at", 33).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_of", before.alias("_before")))  # a row per partition
+    pos = (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")
+    return ranges.join(offsets, F.shiftright("_at", 33) == F.col("_of")).withColumn(out, pos).drop("_at", "_of", "_before")
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:

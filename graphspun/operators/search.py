@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +38,22 @@ def search_names(df: DataFrame, query: str, name: str, key: str, limit: int = 3,
     return page(found(df, query, [name], aliases), [F.col(name).asc_nulls_last(), F.col(key).asc()], limit, offset)
 
 
-def search_reference(verses: DataFrame, query: str, ref: str = "full_ref", key: str = "verse_id", limit: int = 10, offset: int = 0) -> DataFrame:
-    """Verses by reference: `Book 3:16` is one verse, `Book 3` a chapter; anything else finds none here."""
+_REFERENCE = re.compile(r"(?P<chapter>.*\S)\s*:\s*(?P<first>[0-9]+)(?:\s*[-–]\s*(?P<last>[0-9]+))?")
+
+
+def by_reference(verses: DataFrame, query: str, ref: str = "full_ref") -> DataFrame:
+    """Verses by reference: `Book 3:16` is one verse, `Book 3:16-18` a range in its chapter, `Book 3` the chapter; anything else finds none here."""
     parts = F.lower(F.regexp_replace(F.trim(F.col(ref)), r"\s+", " "))
     want = " ".join(query.lower().split())
-    chapter = F.split_part(parts, F.lit(":"), F.lit(1))
-    hit = parts == want if ":" in want else chapter == want
-    return page(verses.where(hit), [F.col(key).asc()], limit, offset)
+    chapter, number = F.split_part(parts, F.lit(":"), F.lit(1)), F.split_part(parts, F.lit(":"), F.lit(2)).try_cast("bigint")
+    found = _REFERENCE.fullmatch(want)
+    if not found:
+        return verses.where(chapter == want)
+    return verses.where((chapter == found["chapter"]) & number.between(int(found["first"]), int(found["last"] or found["first"])))
+
+
+def search_reference(verses: DataFrame, query: str, ref: str = "full_ref", key: str = "verse_id", limit: int = 10, offset: int = 0) -> DataFrame:
+    return page(by_reference(verses, query, ref), [F.col(key).asc()], limit, offset)
 
 
 def appended(pages: Sequence[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphspun.functions import columns as C
 from graphspun.operators import nested as N
 from graphspun.operators import search as S
-from graphspun.operators.ordering import grouped, nulls_last
+from graphspun.operators.ordering import grouped, nulls_last, page
 
 Graph = dict[str, DataFrame]
 
@@ -64,16 +64,16 @@ def book_pages(g: Graph, slug: str | None = None) -> DataFrame:
     return N.expand(_one(g["book"], slug), "slug", chapters.withColumnRenamed("title", "chapter_title"), "book_slug", ["chapter_num", "osis_ref"], ["osis_ref", "chapter_title", "chapter_num", "verses"], "chapters").orderBy(nulls_last("book_order"), "slug")
 
 
-def _event_lists(g: Graph, events: DataFrame, people: bool = True) -> DataFrame:
-    """Events with their verses, places, people and years, and what the event list prints of them."""
+def _event_lists(g: Graph, events: DataFrame, people: bool = True, few: bool = False) -> DataFrame:
+    """Events with their verses, places, people and years, and what the event list prints of them. few: `events` are a small part of all."""
     verses = N.along(g["event_verse"], "verse_id", g["verse"].withColumnRenamed("verse_id", "id").withColumnRenamed("title", "verse_title"), "id")
     places = N.along(g["event_place"], "place", g["place"].select("slug", "name"), "slug")
-    out = N.expand(events, "event_id", verses, "event_id", ["id"], ["id", "osis_ref", "verse_title"], "verses")
-    out = N.expand(out, "event_id", places, "event_id", ["name", "slug"], ["name", "slug"], "places")
-    out = N.expand(out, "event_id", _years_of_events(g), "event_id", ["year"], ["year", "formatted_year"], "years")
+    out = N.expand(events, "event_id", verses, "event_id", ["id"], ["id", "osis_ref", "verse_title"], "verses", narrow=few)
+    out = N.expand(out, "event_id", places, "event_id", ["name", "slug"], ["name", "slug"], "places", narrow=few)
+    out = N.expand(out, "event_id", _years_of_events(g), "event_id", ["year"], ["year", "formatted_year"], "years", narrow=few)
     if people:
         who = N.along(g["event_participant"], "person", g["person"].select("slug", "name"), "slug")
-        out = N.expand(out, "event_id", who, "event_id", ["name", "slug"], ["name", "slug"], "people")
+        out = N.expand(out, "event_id", who, "event_id", ["name", "slug"], ["name", "slug"], "people", narrow=few)
     first, last = F.get("verses", F.lit(0)), F.try_element_at("verses", F.lit(-1))
     out = out.withColumn("year_group", F.get("years", F.lit(0))["formatted_year"]).withColumn("passage", C.range_label(first["verse_title"], first["osis_ref"], last["osis_ref"])).withColumn("passage_link", C.ref_link(first["osis_ref"]))
     return out.withColumn("place_names", C.names(F.col("places")))
@@ -82,9 +82,10 @@ def _event_lists(g: Graph, events: DataFrame, people: bool = True) -> DataFrame:
 _EVENT = ["event_id", "title", "sequence", "sort_key", "year_group", "passage", "passage_link", "places", "place_names", "people", "verses", "group_title"]
 
 
-def _timeline(g: Graph, owners: DataFrame, owner: str, exclude_owner: bool) -> DataFrame:
-    """(owner, timeline): the owner's events in order. `owners`: pairs (owner, event_id)."""
-    events = _event_lists(g, g["event"])
+def _timeline(g: Graph, owners: DataFrame, owner: str, exclude_owner: bool, few: bool) -> DataFrame:
+    """(owner, timeline): the owner's events in order. `owners`: pairs (owner, event_id); few: of a few owners, so that only their events are looked at."""
+    events = N.some(g["event"], "event_id", owners, "event_id") if few else g["event"]
+    events = _event_lists(g, events, few=few)
     titles = N.along(g["event_in_group"], "event_group", g["event_group"].select("slug", F.col("title").alias("of_title")), "slug")
     group = titles.groupBy("event_id").agg(F.min("of_title").alias("group_title"))
     rows = owners.distinct().join(events, "event_id").join(group, "event_id", "left")
@@ -119,7 +120,7 @@ def person_pages(g: Graph, slug: str | None = None) -> DataFrame:
         out = out.withColumn(when, C.optional_join(F.get(f"{when}_places", F.lit(0))["place_name"], F.get(f"{when}_years", F.lit(0))["formatted_year"]))
     out = out.withColumn("aliases", F.array_join(F.coalesce("also_called", F.array().cast("array<string>")), ", ")).withColumn("first_parents", F.slice("parents", 1, 2))
     owners = g["event_participant"].select("person", "event_id").where(F.col("person").isNotNull())
-    return _with_timeline(out, _timeline(g, _one(owners, slug, "person"), "person", True), "person").orderBy("slug")
+    return _with_timeline(out, _timeline(g, _one(owners, slug, "person"), "person", True, slug is not None), "person").orderBy("slug")
 
 
 def place_pages(g: Graph, slug: str | None = None) -> DataFrame:
@@ -130,18 +131,25 @@ def place_pages(g: Graph, slug: str | None = None) -> DataFrame:
     verses = N.along(g["mentions_place"], "verse_id", g["verse"].select(F.col("verse_id").alias("id"), "osis_ref", "title"), "id")
     out = N.expand(out, "slug", verses, "place", ["id"], ["id", "osis_ref", "title"], "verses")
     owners = g["event_place"].select("place", "event_id").where(F.col("place").isNotNull())
-    return _with_timeline(out, _timeline(g, _one(owners, slug, "place"), "place", False), "place").orderBy("slug")
+    return _with_timeline(out, _timeline(g, _one(owners, slug, "place"), "place", False, slug is not None), "place").orderBy("slug")
 
 
 def period_pages(g: Graph, slug: str | None = None) -> DataFrame:
-    """Periods with their years, and in each year those of its events that belong to this period alone. Years without events stay."""
-    alone = N.single(g["event"], "event_id", g["event_in_group"], "event_id", "event_group")
-    events = _event_lists(g, alone).join(g["event_in_group"].distinct().withColumnRenamed("event_group", "_group"), "event_id")
+    """Periods with their years, and in each year those of its events that belong to the period, in sequence. Years without events stay.
+
+    "Belongs to" is one match of the period among the event's groups: the edges are filtered by the period first and
+    counted then, so an event of two periods is in both.
+    """
+    members = _one(g["event_in_group"], slug, "event_group").select("event_id", F.col("event_group").alias("_group")).distinct()
+    few = slug is not None
+    events = _event_lists(g, N.some(g["event"], "event_id", members, "event_id") if few else g["event"], few=few).join(members, "event_id")
     events = events.join(g["event_year"].distinct().withColumnRenamed("year", "_year"), "event_id")
+    first, last = F.get("verses", F.lit(0)), F.try_element_at("verses", F.lit(-1))
+    events = events.withColumn("passage", C.plain_range_label(first["verse_title"], last["osis_ref"]))
     keyed = events.withColumn("_key", F.to_json(F.struct("_group", "_year"))).withColumn("people_names", C.names(F.col("people")))
     years = _one(g["group_year"], slug, "event_group").join(g["year"].withColumnRenamed("year", "of_year"), F.col("year") == F.col("of_year"))
     years = years.withColumn("_at", F.to_json(F.struct(F.col("event_group").alias("_group"), F.col("year").alias("_year"))))
-    years = N.expand(years, "_at", keyed, "_key", ["sort_key", "event_id"], ["event_id", "title", "passage", "passage_link", "places", "people", "verses", "people_names", "place_names"], "events")
+    years = N.expand(years, "_at", keyed, "_key", ["sequence", "event_id"], ["event_id", "title", "sequence", "passage", "passage_link", "places", "people", "verses", "people_names", "place_names"], "events")
     return N.expand(_one(g["event_group"], slug), "slug", years, "event_group", ["of_year"], ["of_year", "formatted_year", "events"], "years").orderBy(nulls_last("sort_key"), "slug")
 
 
@@ -154,11 +162,13 @@ def mentioned(g: Graph, table: str, edge: str) -> DataFrame:
 
 
 def search(g: Graph, query: str, people: int = 3, places: int = 3, verses: int = 10, offset: int = 0) -> dict[str, DataFrame]:
-    """The three lists of a search: people by name or alias, places by name, verses by reference or phrase. A limit of -1 is all the rest."""
-    reference = S.search_reference(g["verse"], query, limit=verses, offset=offset) if len(query) >= S.LEAST else g["verse"].limit(0)
-    is_reference = g["verse"].sparkSession.range(1).select(C.input_kind(F.lit(query))).first()[0] in ("reference", "chapter")
+    """The three lists of a search: people by name or alias, places by name, verses by reference or, if none has it, by phrase. A limit of -1 is all the rest."""
+    found = S.found(g["verse"], query, ["verse_text"])
+    if len(query) >= S.LEAST and g["verse"].sparkSession.range(1).select(C.input_kind(F.lit(query))).first()[0] in ("reference", "chapter"):
+        named = S.by_reference(g["verse"], query)
+        found = found if named.isEmpty() else named
     return {
         "people": S.search_names(mentioned(g, "person", "mentions_person"), query, "name", "slug", people, offset, aliases="also_called"),
         "places": S.search_names(mentioned(g, "place", "mentions_place"), query, "name", "slug", places, offset),
-        "verses": (reference if is_reference else S.search_texts(g["verse"], query, "verse_text", "verse_id", verses, offset)).withColumn("link", C.ref_link(F.col("osis_ref"), absolute=True)),
+        "verses": page(found, [F.col("verse_id").asc()], verses, offset).withColumn("link", C.ref_link(F.col("osis_ref"), absolute=True)),
     }

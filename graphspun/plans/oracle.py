@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphspun.plans.pages_sql import SQL as PAGES
+
 _EDGES = "edges AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)"
 _EVENTS = "events AS (SELECT o_orderkey AS event, o_custkey AS cust, o_orderpriority AS period, o_orderdate AS sort_key, year(o_orderdate) AS year FROM orders)"
 _VERSES = """verses AS (
@@ -68,7 +70,7 @@ SQL = {
         WITH {_EVENTS}, {_EDGES}, {_PEOPLE},
              p AS (SELECT l_orderkey, count(*) AS n, min(name) AS first FROM people GROUP BY l_orderkey),
              cells AS (SELECT DISTINCT period, year FROM events),
-             open AS (SELECT * FROM events WHERE event IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey < 60)),
+             open AS (SELECT * FROM events WHERE event IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')),
              f AS (SELECT period, year, count(*) AS n_events, sum(n) AS n_people, min(event) AS first_event, min(first) AS first_person FROM open LEFT JOIN p ON l_orderkey = event GROUP BY period, year)
         SELECT period, year, coalesce(n_events, 0) AS n_events, CAST(coalesce(n_people, 0) AS BIGINT) AS n_people, first_event, first_person FROM cells LEFT JOIN f USING (period, year)""",
     "person_timeline": f"""
@@ -104,8 +106,8 @@ SQL = {
         WITH g AS (SELECT upper(substr(p_name, 1, 1)) AS letter, count(*) AS n, arg_min(p_partkey, (p_name, p_partkey)) AS first_key, arg_max(p_partkey, (p_name, p_partkey)) AS last_key, min((p_name, p_partkey)) AS f FROM part GROUP BY 1)
         SELECT letter, row_number() OVER (ORDER BY f) AS pos, n, first_key, last_key FROM g""",
     "year_timeline": f"""
-        WITH {_EVENTS}, g AS (SELECT year, min((sort_key, event)) AS f, string_agg(CAST(event AS VARCHAR), ',' ORDER BY sort_key, event) AS events FROM events WHERE cust <= 100 GROUP BY year)
-        SELECT year, row_number() OVER (ORDER BY f) AS pos, events FROM g""",
+        WITH {_EVENTS}, g AS (SELECT year, row_number() OVER (ORDER BY min((sort_key, event))) AS year_pos FROM events GROUP BY year)
+        SELECT year, year_pos, event, row_number() OVER (ORDER BY sort_key NULLS LAST, event) AS pos FROM events JOIN g USING (year)""",
     "first_last": f"WITH {_VERSES}, {_ENDS} SELECT l_orderkey, ft AS first_title, lt AS last_title, lv AS last_verse FROM ends",
     "name_list": f"""
         WITH {_EDGES}, {_PEOPLE}, p AS (SELECT l_orderkey, string_agg(name, ', ' ORDER BY name, l_suppkey) AS names, count(*) AS n FROM people GROUP BY l_orderkey)
@@ -144,12 +146,11 @@ SQL = {
         SELECT people, places, verses, more_people, verses > 0 AS show_verses, people > 0 AS show_people, places > 0 AS show_places, verses > 0 OR people > 0 OR places > 0 AS show_all,
                (verses > 0)::INT + (people > 0)::INT + (places > 0)::INT = 1 AS show_one, NOT (verses > 0 OR people > 0 OR places > 0) AS show_none FROM t""",
     "input_kind": r"""
-        SELECT input, CASE WHEN length(input) < 3 THEN 'short'
-                           WHEN regexp_matches(input, '^\s*([1-3]\s)?\p{L}+\s+[0-9]+:[0-9]+\s*$') THEN 'reference'
-                           WHEN regexp_matches(input, '^\s*([1-3]\s)?\p{L}+\s+[0-9]+\s*$') THEN 'chapter' ELSE 'phrase' END AS kind
-        FROM (VALUES ('Prov 25:2'), ('Acts 13'), ('John 3:16'), ('in the beginning'), ('search the scriptures'), ('Abraham'), ('Bethlehem'), ('1 John 2'), ('ab'), (''), ('Acts'), ('13:2')) t(input)""",
+        WITH t AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_name || ' ' || p_size || ':' || p_size WHEN 1 THEN '  2 ' || p_name || ' ' || p_size || ':1-' || p_size || ' ' WHEN 2 THEN p_name || ' ' || p_size WHEN 3 THEN p_name
+                          WHEN 4 THEN substr(p_name, 1, 2) WHEN 5 THEN p_size || ':' || p_size WHEN 6 THEN p_name || ' ' || p_size || ' more' ELSE '2 ' || p_name || ' ' || p_size END AS input FROM part)
+        SELECT p_partkey, input, CASE p_partkey % 8 WHEN 0 THEN 'reference' WHEN 1 THEN 'reference' WHEN 2 THEN 'chapter' WHEN 7 THEN 'chapter' ELSE CASE WHEN length(input) < 3 THEN 'short' ELSE 'phrase' END END AS kind FROM t""",
     "url_query": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' no' || c_custkey ELSE '' END AS q FROM customer",
     "verses_by_book": f"""
-        WITH rows_ AS (SELECT DISTINCT CAST(l_orderkey % 5 AS INTEGER) AS book, CAST(l_orderkey // 5 AS INTEGER) AS chapter, l_linenumber AS number FROM lineitem WHERE l_orderkey <= 400), {_runs("rows_", "book", "chapter, number")}
-        SELECT book, row_number() OVER (ORDER BY book) AS pos, string_agg(label, ', ' ORDER BY run) AS verses, count(*) AS n_runs FROM runs GROUP BY book""",
-}
+        WITH rows_ AS (SELECT DISTINCT CAST(l_orderkey % 5 AS INTEGER) AS book, CAST(l_orderkey // 5 AS INTEGER) AS chapter, l_linenumber AS number FROM lineitem), {_runs("rows_", "book", "chapter, number")}
+        SELECT book, dense_rank() OVER (ORDER BY book) AS pos, chapter, first, last, n, label FROM runs""",
+} | PAGES

@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from graphspun.functions import columns as C
 from graphspun.operators import nested as N
 from graphspun.operators import search as S
-from graphspun.operators.ordering import group_ends, grouped, has_more, numbered
+from graphspun.operators.ordering import group_ends, has_more, numbered
 from graphspun.operators.runs import chapter_islands, island_label, islands
+from graphspun.plans.pages import QUERIES as PAGES
 from graphspun.sources.tables import constant, read, url_parameter
 
 
@@ -78,7 +79,8 @@ def books_by_testament(spark: SparkSession, d: str) -> DataFrame:
 
 def book_text_nested(spark: SparkSession, d: str) -> DataFrame:
     nation = read(spark, d, "nation").where(F.col("n_nationkey") == 3)
-    chapters = N.expand(read(spark, d, "customer"), "c_custkey", read(spark, d, "orders"), "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderstatus"], "verses")
+    chapters = N.some(read(spark, d, "customer"), "c_nationkey", nation, "n_nationkey")
+    chapters = N.expand(chapters, "c_custkey", read(spark, d, "orders"), "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderstatus"], "verses", narrow=True)
     out = N.expand(nation, "n_nationkey", chapters, "c_nationkey", ["c_custkey"], ["c_custkey", "c_name", "verses"], "chapters")
     out = out.select("n_name", F.posexplode_outer("chapters").alias("at", "c"))
     return out.select("n_name", (F.col("at") + 1).cast("long").alias("pos"), F.col("c.c_name").alias("chapter"), F.size("c.verses").cast("long").alias("n_verses"), F.array_join(F.transform("c.verses", lambda v: F.concat(v["o_orderkey"].cast("string"), v["o_orderstatus"])), " ").alias("verses"))
@@ -115,10 +117,10 @@ def single_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def period_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Years of each period, and in each the open events of customers below 60, as its SQL has it, with their people; years without one stay."""
+    """Years of each period, and in each the open events, with their people; years without one stay."""
     cells = _events(spark, d).select("period", "year").distinct()
-    events = N.some(_events(spark, d), "event", read(spark, d, "orders").where("o_orderstatus = 'P' AND o_custkey < 60"), "o_orderkey")
-    people = N.along(_edges(spark, d), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    events = N.some(_events(spark, d), "event", read(spark, d, "orders").where("o_orderstatus = 'P'"), "o_orderkey")
+    people = N.along(N.some(_edges(spark, d), "l_orderkey", events, "event"), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
     of_event = events.join(people.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_people"), F.min("s_name").alias("first_person")), F.col("event") == F.col("l_orderkey"), "left")
     filled = of_event.groupBy("period", "year").agg(F.count(F.lit(1)).alias("n_events"), F.coalesce(F.sum("n_people"), F.lit(0)).alias("n_people"), F.min("event").alias("first_event"), F.min("first_person").alias("first_person"))
     return cells.join(filled, ["period", "year"], "left").select("period", "year", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("n_people", F.lit(0)).cast("long").alias("n_people"), "first_event", "first_person")
@@ -138,8 +140,8 @@ def person_timeline(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     mine = N.some(_events(spark, d), "event", edges.where(F.col("l_suppkey") == me), "l_orderkey")
     people = N.along(edges.where(F.col("l_suppkey") != me), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey")
-    out = N.expand(mine, "event", people, "l_orderkey", ["name", "s_suppkey"], ["name", "s_suppkey"], "people")
-    out = N.expand(out, "event", _verses(spark, d), "l_orderkey", ["verse_id"], ["verse_id", "osis_ref", "title"], "verses")
+    out = N.expand(mine, "event", people, "l_orderkey", ["name", "s_suppkey"], ["name", "s_suppkey"], "people", narrow=True)
+    out = N.expand(out, "event", N.some(_verses(spark, d), "l_orderkey", mine, "event"), "l_orderkey", ["verse_id"], ["verse_id", "osis_ref", "title"], "verses")
     first, last = F.get("verses", F.lit(0)), F.try_element_at("verses", F.lit(-1))
     out = out.select("event", "sort_key", "year", C.range_label(first["title"], first["osis_ref"], last["osis_ref"]).alias("passage"), C.names(F.col("people")).alias("people"), F.size("people").cast("long").alias("n_people"))
     return numbered(out, "sort_key", ["event"]).drop("sort_key")
@@ -149,7 +151,7 @@ def place_timeline(spark: SparkSession, d: str) -> DataFrame:
     here = read(spark, d, "customer").where(F.col("c_nationkey") == 3)
     events = N.some(_events(spark, d), "cust", here, "c_custkey")
     people = N.along(_edges(spark, d), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey")
-    out = N.expand(events, "event", people, "l_orderkey", ["name", "s_suppkey"], ["name", "s_suppkey"], "people")
+    out = N.expand(events, "event", people, "l_orderkey", ["name", "s_suppkey"], ["name", "s_suppkey"], "people", narrow=True)
     return numbered(out.select("event", "sort_key", "year", C.names(F.col("people")).alias("people")), "sort_key", ["event"]).drop("sort_key")
 
 
@@ -165,9 +167,10 @@ def person_pages(spark: SparkSession, d: str) -> DataFrame:
 def self_edge(spark: SparkSession, d: str) -> DataFrame:
     """Partners: people of the same nation who share an event."""
     people = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    pairs = N.others(_edges(spark, d), "l_suppkey", "l_orderkey").select("l_suppkey", "other").distinct()
-    mate = people.select(F.col("s_suppkey").alias("mate"), F.col("s_nationkey").alias("mate_nation"), F.col("s_name").alias("mate_name"))
-    rows = pairs.join(people, F.col("l_suppkey") == F.col("s_suppkey")).join(mate, F.col("other") == F.col("mate")).where("s_nationkey = mate_nation").select(F.col("s_suppkey").alias("of"), F.col("mate_name").alias("name"), "mate")
+    nations = people.select(F.col("s_suppkey").alias("_of"), "s_nationkey")
+    members = N.along(_edges(spark, d).withColumn("person", F.col("l_suppkey")), "person", nations, "_of").where("s_nationkey is not null").drop("_of")
+    pairs = N.others(members, "l_suppkey", "l_orderkey", "s_nationkey").select("l_suppkey", "other").distinct()
+    rows = N.along(pairs, "other", people.select(F.col("s_suppkey").alias("mate"), F.col("s_name").alias("name")), "mate").withColumnRenamed("l_suppkey", "of")
     out = N.expand(people.select("s_suppkey", "s_name"), "s_suppkey", rows, "of", ["mate"], ["mate", "name"], "partners")
     return out.select("s_suppkey", "s_name", C.names(F.col("partners")).alias("partners"), F.size("partners").cast("long").alias("n_partners"))
 
@@ -199,10 +202,10 @@ def alpha_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the customers up to 100, as its SQL has it, by year, the years in the order in which events meet them."""
-    events = _events(spark, d).where("cust <= 100")
-    out = grouped(events, "year", ["sort_key", "event"], ["event"])
-    return out.select("year", "pos", F.array_join(F.transform("rows", lambda r: r["event"].cast("string")), ",").alias("events"))
+    """All events in order with their years, the years in the order in which events meet them. A row for each event: no year is gathered in one."""
+    events = numbered(_events(spark, d).select("year", "sort_key", "event"), "sort_key", ["event"])
+    years = group_ends(events, "year", ["pos"], ["event"], out="year_pos").select(F.col("year").alias("_year"), "year_pos")
+    return events.join(F.broadcast(years), F.col("year").eqNullSafe(F.col("_year"))).select("year", "year_pos", "event", "pos")  # a row per year
 
 
 def first_last(spark: SparkSession, d: str) -> DataFrame:
@@ -296,13 +299,11 @@ def search_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("people", "places", "verses", "more_people", *[c.alias(n) for n, c in C.flags(F.col("verses"), F.col("people"), F.col("places"), F.lit(q)).items()])
 
 
-#: Example inputs of each kind.
-INPUTS = ["Prov 25:2", "Acts 13", "John 3:16", "in the beginning", "search the scriptures", "Abraham", "Bethlehem", "1 John 2", "ab", "", "Acts", "13:2"]
-
-
 def input_kind(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in INPUTS], "input string")
-    return rows.select("input", C.input_kind(F.col("input")).alias("kind"))
+    """Search texts of every kind, made of each part's name and size: references, ranges, chapters, names, short ones and other phrases."""
+    name, n = F.col("p_name"), F.col("p_size").cast("string")
+    forms = [_text(name, " ", n, ":", n), _text("  2 ", name, " ", n, ":1-", n, " "), _text(name, " ", n), name, F.substring(name, 1, 2), _text(n, ":", n), _text(name, " ", n, " more"), _text("2 ", name, " ", n)]
+    return read(spark, d, "part").select("p_partkey", F.element_at(F.array(*forms), (F.col("p_partkey") % len(forms) + 1).cast("int")).alias("input")).withColumn("kind", C.input_kind(F.col("input")))
 
 
 def url_query(spark: SparkSession, d: str) -> DataFrame:
@@ -311,13 +312,14 @@ def url_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verses_by_book(spark: SparkSession, d: str) -> DataFrame:
-    """References grouped by book in the books' own order, each book's runs as one text. Only of orders up to 400, as its SQL has it."""
-    rows = read(spark, d, "lineitem").where("l_orderkey <= 400").select((F.col("l_orderkey") % 5).cast("int").alias("book"), (F.col("l_orderkey") / 5).cast("int").alias("chapter"), F.col("l_linenumber").alias("number")).distinct()
-    labels = chapter_islands(rows, ["book"], "chapter", "number").withColumn("label", island_label())
-    listed = labels.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "first", "label"))), lambda x: x["label"]), ", ").alias("verses"), F.count(F.lit(1)).alias("n_runs"))
-    return listed.select("book", F.row_number().over(Window.orderBy("book")).cast("long").alias("pos"), "verses", "n_runs")  # a row per book
+    """References by book in the books' own order, each run of verses a row; in a book they are ordered by chapter and first verse."""
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") % 5).cast("int").alias("book"), (F.col("l_orderkey") / 5).cast("int").alias("chapter"), F.col("l_linenumber").alias("number")).distinct()
+    runs = chapter_islands(rows, ["book"], "chapter", "number").withColumn("label", island_label())
+    books = runs.select("book").distinct()
+    places = books.select(F.col("book").alias("_book"), F.row_number().over(Window.orderBy("book")).cast("long").alias("pos"))  # a row per book
+    return runs.join(F.broadcast(places), F.col("book") == F.col("_book")).select("book", "pos", "chapter", "first", "last", "n", "label")
 
 
 _ALL = (site_title, slug_scan, page_manifest, sitemap, markdown_text, index_sorted, index_desc, books_by_testament, book_text_nested, period_overview, lookup_by_key, exclude_self, exists_related, single_related, period_detail, person_timeline, place_timeline, person_pages, self_edge, cyclic_hop, first_related, first_two, alpha_index, year_timeline, first_last, name_list, verse_islands, range_label, ref_parse_link, leading_int, case_level, status_link, optional_concat, search_text_page1, search_text_page2, search_names, search_rest, search_appended, search_flags, input_kind, url_query, verses_by_book)
 
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | PAGES

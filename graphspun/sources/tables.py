@@ -23,10 +23,10 @@ def read_graph(spark: SparkSession, folder: str, check: bool = True) -> dict[str
     return tables
 
 
-def register(tables: dict[str, DataFrame]) -> None:
+def register(tables: dict[str, DataFrame], prefix: str = "") -> None:
     """Names the tables for spark.sql()."""
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(prefix + name)
 
 
 def constant(spark: SparkSession, **values: str) -> DataFrame:
