@@ -66,6 +66,45 @@ def test_same_result_again_and_weights_of_documents(spark):
     assert sum(taken[i] for i in first) > 1.4 * sum(taken[i] for i in short if i >= 300)
 
 
+def brute_taken(rows, target, sizes, key):
+    """The rule of selection: whole epochs, then in the order of the keys while the middle of the document lies before the rest of the budget."""
+    taken = {}
+    for s, t in target.items():
+        whole = int(t / sizes[s] + 1e-12) if sizes[s] else 0
+        rest, before = t - whole * sizes[s], 0
+        for d, n in sorted(((d, n) for d, n, x in rows if x == s), key=lambda r: key[r[0]]):
+            taken[d] = n * (whole + (n > 0 and before + n / 2 < rest))
+            before += n
+    return taken
+
+
+def test_selection_against_brute_force(spark):
+    """The keys themselves are recomputed from the hash that the operator states; which documents are then taken is held against a plain loop."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (i * 37 % 90), ["a", "b", "c", None, "big"][min(4, i * i % 7)]) for i in range(700)]
+    df = frame(spark, rows).withColumn("q", F.lit(0.2) + (F.col("doc_id") % 5))
+    hashes = df.select("doc_id", "q", F.xxhash64(F.lit(17), F.col("doc_id"), F.xxhash64(F.lit(17), F.col("text"))).alias("h")).collect()
+    key = {r.doc_id: -math.log((((r.h & (1 << 64) - 1) >> 12) + 0.5) / (1 << 52)) / r.q for r in hashes}
+    sizes = Counter()
+    for i, t, s in rows:
+        sizes[s] += len(t.split())
+    expected = brute_taken([(i, len(t.split()), s) for i, t, s in rows], brute_targets(sizes, (1, 2, 3), 3.0), sizes, key)
+    assert {r.doc_id: r.taken for r in mixing.mix(df, quality=df["q"]).collect()} == expected
+
+
+def test_slices_are_even_whatever_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    cuts, n = 100, 100_000
+    for weight in (F.lit(1.0), F.lit(1e-6), F.lit(1e4), F.when(F.col("id") % 3 == 0, F.lit(0.01)).otherwise(F.lit(1.0))):
+        draw = (F.shiftrightunsigned(F.xxhash64("id"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+        part = F.floor(F.log(-F.log(draw) / weight) * F.lit(float(cuts)))
+        assert spark.range(n).groupBy(part.alias("s")).count().agg(F.max("count")).first()[0] < 0.6 * n / cuts
+
+
 def test_empty_and_all_empty_texts(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     found = mixing.mix(frame(spark, [(1, "", "a"), (2, None, None)])).collect()
