@@ -6,7 +6,7 @@ sequence that has room. A tournament tree over the room left finds that sequence
 lengths and checksums travel to the groups, never texts or ids.
 
 Defined results. Text null: empty; every document ends with the end id, so none is without a piece. Id null:
-packed like any other. Ties in length: by id, then by checksum. Repeated rows: each is packed. Empty table: no
+packed like any other. Ties in length: by id, then by checksum. Repeated rows: each is packed; they are dealt over all groups. Empty table: no
 rows. Other columns are not looked at.
 """
 
@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,28 +64,33 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def cut_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc_tokens, crcs): the checksum of each piece's ids, as little-endian unsigned 32-bit integers, in order."""
+    """(doc_id, doc_tokens, crcs, spread): the checksum of each piece's ids, as little-endian unsigned 32-bit integers, in order; spread tells
+    rows that are alike apart: 0 for the first of a task that has an id, else a number that hangs on the task and on how many came before."""
     ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId() + 1, Counter()
         for b in batches:
-            encode, n, crcs = open_file(tokenizer_path).ids, [], []
-            for t in b.column(1):
+            encode, n, crcs, spread = open_file(tokenizer_path).ids, [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encode(t.as_py() or "") + end
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
+                row = hash((d, n[-1], crcs[-1][-1]))
+                spread.append(0 if d is not None and not seen[row] else task << 32 | seen[row])
+                seen[row] += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(spread, pa.int64())], names=["doc_id", "doc_tokens", "crcs", "spread"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, doc_tokens long, crcs array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, doc_tokens long, crcs array<long>, spread long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 1024, group: int = 2048, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. `group`: about so many documents are packed together."""
     groups = max(1, docs.count() // group)
     rows = cut_tokens(docs, tokenizer_path, end_id, capacity, id_col, text_col)
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", F.element_at("crcs", -1)), F.lit(groups)))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", F.element_at("crcs", -1), "spread"), F.lit(groups))).drop("spread")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
