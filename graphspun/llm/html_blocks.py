@@ -35,7 +35,7 @@ _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 DEPTH = 256
 
 #: Sizes of the hashed vectors: tag path, words; then plain measures.
-PATHS, WORDS, MEASURES = 256, 128, 8
+PATHS, WORDS, MEASURES = 256, 128, 10
 WIDTH = PATHS + WORDS + MEASURES
 
 
@@ -141,12 +141,12 @@ def _bucket(name: str, size: int) -> int:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row per block: hashed tag path, hashed words, and measures of length, links and place."""
+    """One row per block: hashed tag path, hashed words, and measures of length, links, place and of marks in the path."""
     x = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
         x[i, list(b.buckets)] = 1
         words = b.text.split(" ")
         x[i, PATHS : PATHS + WORDS] = np.bincount([_bucket(w.lower(), WORDS) for w in words], minlength=WORDS) / len(words)
         n = len(b.text)
-        x[i, PATHS + WORDS :] = (1, min(n, 1000) / 1000, np.log1p(n) / 10, b.linked / n, i / len(page), b.text.count(" ") / n, b.text[-1] in ".!?…", len(page) / (len(page) + 20))
+        x[i, PATHS + WORDS :] = (1, min(n, 1000) / 1000, np.log1p(n) / 10, b.linked / n, i / len(page), b.text.count(" ") / n, b.text[-1] in ".!?…", len(page) / (len(page) + 20), b.inside, b.outside)
     return x
