@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written tables, text normalisation, running totals."""
+"""What the operators share: the library's code on the executors, text normalisation, running totals."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import atexit
 import math
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,21 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = option.get() if option.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphspun-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from graphspun.sources.scratch import release, shared_dir, written
 
+__all__ = ["before_in_group", "fresh", "kept_rows", "n_words", "one_space", "plain_text", "release", "row_key", "shared_dir", "ship", "slices", "written"]
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this library, once a session, so that it need not be on their Python path. Called by every operator that runs Python there."""
@@ -47,27 +34,6 @@ def ship(spark: SparkSession) -> None:
     context._graphspun_shipped = True
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: `df` as a table written to the shared folder and read back. release() removes such tables."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Removes every table that written() has made, once the results that build on them are stored; also called when Python ends."""
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is None:  # stopped before; the shared folder's owner has to remove what is left
-            continue
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def plain_text(text: str | Column) -> Column:
     """Text with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

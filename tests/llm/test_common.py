@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from types import SimpleNamespace
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -76,5 +77,12 @@ def test_the_sessions_folder_is_used():
     assert common.shared_dir(SimpleNamespace(conf=conf)) == "hdfs://shared/x"
 
 
+def test_no_local_folder_on_a_cluster():
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=context))
+
+
 def test_fresh_names():
     assert common.fresh(["a", "_KEY", "_key_"], "_key") == "_key__" and common.fresh(["a"], "_key") == "_key"
