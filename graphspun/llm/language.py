@@ -16,15 +16,13 @@ counts and is listed. Very long texts are scored whole. Other columns are not lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphspun.llm.common import plain_text, ship
+from graphspun.llm.common import plain_text
 from graphspun.llm.kn_shards import Sharded, score, train_shards
 
 ORDER = 4
@@ -85,21 +83,13 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text"))
     if models is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    ship(docs.sparkSession)
-    langs, sharpness, worst = models.sharded.langs, models.sharpness, np.array(models.worst)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chars, letters = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            cross = -b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(langs)) / np.maximum(chars, 1)[:, None]
-            best = cross.argmin(1)
-            at = np.arange(len(best))
-            p = np.where(letters, posterior(cross, chars, sharpness)[at, best], 0.0)
-            lowest = cross[at, best]
-            names = [langs[i] if x else "und" for i, x in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(p), pa.array(lowest, mask=~letters), pa.array(~letters | (lowest > worst[best]))], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
-
-    return score(rows, models.sharded).select("doc_id", "n_chars", "letters", "totals").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    langs, n = models.sharded.langs, F.greatest("n_chars", F.lit(1))
+    scored = score(rows, models.sharded).select("doc_id", "letters", (F.sqrt(n) * models.sharpness).alias("sharp"), F.transform("totals", lambda t: -t / n).alias("cross"))
+    scored = scored.withColumn("lowest", F.array_min("cross")).withColumn("best", F.array_position("cross", F.col("lowest")).cast("int"))
+    # posterior(), of the language with the lowest cross-entropy; the first of several.
+    own = 1 / F.aggregate("cross", F.lit(0.0), lambda sum_, c: sum_ + F.exp((F.col("lowest") - c) * F.col("sharp")))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("best"))
+    return scored.select("doc_id", F.when(F.col("letters"), of(langs)).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), own).otherwise(0.0).alias("score"), F.when(F.col("letters"), F.col("lowest")).alias("cross_entropy"), (~F.col("letters") | (F.col("lowest") > of(models.worst))).alias("rejected"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
