@@ -117,7 +117,7 @@ def _by_lang(langs: list) -> Iterator[tuple[str | None, np.ndarray]]:
         yield lang, np.flatnonzero(names == lang)
 
 
-def score(rows: DataFrame, model: Sharded, by: str | None = None, lot_chars: int = 8_000_000, units: int = 128) -> DataFrame:
+def score(rows: DataFrame, model: Sharded, by: str | None = None, lot_chars: int = 16_000_000, units: int = 512) -> DataFrame:
     """The rows without their text, and with n_chars, letters (whether there is one) and totals: the sum of the log probabilities
     of the text's characters, in each language of model.langs; with `by`, a column of languages, in the row's own alone, and empty if that
     has no model. n_chars is then 0.

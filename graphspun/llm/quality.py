@@ -38,7 +38,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(says(quality == 1).alias("_good"), says((quality != 1) | (toxic != 0)).alias("_bad")).where("_good and not _bad").select("doc_id")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 40, broadcast_ids: int = 500_000, lot_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 40, broadcast_ids: int = 500_000, lot_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, n_chars, perplexity (of a character), threshold, kept, text_hash.
 
     labels: doc_id, quality, toxic. At most `broadcast_ids` of the trusted ids are broadcast; more are joined by a

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphspun.llm import kneser_ney, language, quality
-from graphspun.llm.ngram_counts import ngram_counts
+from graphspun.llm import kn_shards, kneser_ney, language, quality
+from graphspun.llm.ngram_counts import gram_lots, ngram_counts
 
 SYLLABLES = {"en": "the and ing her tion wh sh ble or ed".split(), "de": "der ung sch keit lich ein ver ü ß tz".split(), "es": "que ado ción la el ñ mente osa í rr".split()}
 SCHEMA = "doc_id long, text string, lang string, score int, total int, key int"
@@ -77,6 +77,50 @@ def test_model_against_the_plain_one(order):
     assert abs(np.exp(kneser_ney.logp(levels, (context << kneser_ney.BITS) | np.arange(kneser_ney.CODES)).astype(float)).sum() - 1) < 1e-3
 
 
+def mean_log(plain, text, table):
+    seq = (0,) * (plain.order - 1) + tuple(codes(text, table))
+    return np.mean([np.log(plain.p(seq[i : i + plain.order])) for i in range(len(seq) - plain.order + 1)])
+
+
+@pytest.mark.parametrize("segment", [3, 7, 50])
+def test_long_texts_have_the_same_grams_in_pieces(segment):
+    rnd, table = random.Random(4), kneser_ney.letter_table()
+    texts = [prose(rnd, "de", 30), "a" + " " * 300 + "b" + "1 2" * 40, "", "   ", "x"]
+    keys, size = kneser_ney.grams(texts, 4, table)
+    whole = np.split(keys, np.cumsum(size)[:-1])
+    found = [[] for _ in texts]
+    for k, n, owner in gram_lots(texts, 4, table, segment):
+        for i, part in zip(owner.tolist(), np.split(k, np.cumsum(n)[:-1])):
+            found[i] += part.tolist()
+    assert found == [x.tolist() for x in whole]
+
+
+def test_shards_are_dealt_alike_by_spark_and_numpy(spark):
+    keys = kneser_ney.grams([prose(random.Random(5), "es", 300) + " 日本 ñ"], 5, kneser_ney.raw_table())[0]
+    rows = spark.createDataFrame([(int(k),) for k in np.unique(keys)], "key long")
+    shard = kn_shards._part(F.col("key"), 1, kn_shards.LAST) * kn_shards.BEFORE + kn_shards._part(F.col("key"), 2, kn_shards.BEFORE)
+    assert all(r.s == kn_shards.shard_of(np.array([r.key]))[0] for r in rows.select("key", shard.alias("s")).collect())
+
+
+@pytest.mark.parametrize("lot_chars, units", [(8_000_000, 128), (200, 2)])
+def test_scores_against_the_plain_model(spark, lot_chars, units):
+    rnd, table = random.Random(9), kneser_ney.letter_table()
+    train = [(prose(rnd, lang, 25), lang) for lang in SYLLABLES for _ in range(10)]
+    model = kn_shards.train_shards(spark.createDataFrame(train, "text string, lang string"), 4, letters=True)
+    texts = [prose(rnd, "en", 12), prose(rnd, "de", 3), "ΑΒΓ 日本", "", "123", prose(rnd, "es", 6)] * 3
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(3, "en", "")] * 5, "i int, own string, text string")
+    plain = {lang: Plain([t for t, x in train if x == lang], 4, table) for lang in SYLLABLES}
+    for by in (None, "own"):
+        found = kn_shards.score(rows, model, by, lot_chars, units).collect()
+        assert Counter(r.i for r in found) == Counter([*range(len(texts)), 3, 3, 3, 3, 3])
+        for r in found:
+            n = len(codes(texts[r.i], table))
+            assert r.n_chars == n and r.letters == any(c.isalpha() for c in texts[r.i])
+            if n:
+                expected = [mean_log(plain[x], texts[r.i], table) * n for x in (model.langs if by is None else ["en"])]
+                assert np.allclose(r.totals, expected, atol=1e-3 * n)
+
+
 def test_counts(spark):
     rnd = random.Random(3)
     rows = [(i, prose(rnd, "en", 30), "en") for i in range(40)] + [(99, None, "en"), (98, "x", None)]
@@ -108,6 +152,37 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r.score <= 1 and r.lang_pred in (*SYLLABLES, "und") for r in found)
 
 
+def test_language_against_the_plain_models(spark):
+    """All n-grams of all documents that are neither held out nor for calibration, and the lowest cross-entropy wins."""
+    rows, table = language_rows(240), kneser_ney.letter_table()
+    df = frame(spark, rows)
+    known = df.where(~language.held_out()).select("doc_id", "lang", "text")
+    learned = known.where(~language.set_aside(known, 4096)).collect()
+    plain = {lang: Plain([r.text for r in learned if r.lang == lang], language.ORDER, table) for lang in sorted(SYLLABLES)}
+    for r in language.identify(df).where("doc_id % 6 < 2").collect():
+        text = rows[r.doc_id][1]
+        cross = {lang: -mean_log(p, text, table) for lang, p in plain.items()}
+        assert r.lang_pred == min(cross, key=cross.get) and abs(r.cross_entropy - cross[r.lang_pred]) < 1e-3
+
+
+def test_a_language_with_few_rows_is_learned(spark):
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, ["en", "de"][i % 2], 20), ["en", "de"][i % 2]) for i in range(200)]
+    pool = [prose(rnd, "es", 20) for _ in range(900)]
+    hashed = frame(spark, [(i, t, "es") for i, t in enumerate(pool)]).select("text", F.pmod(F.xxhash64("text"), F.lit(64)).alias("h")).collect()
+    aside = [r.text for r in hashed if r.h == 0][:6]  # all of this language would be for calibration only
+    assert len(aside) == 6
+    few = [(i, t, "es") for i, t in zip((i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 4 != 2), aside)]
+    found = language.identify(frame(spark, rows + few + [(9000, prose(rnd, "es", 30), None)])).where("doc_id >= 5000").collect()
+    assert {r.lang_pred for r in found} == {"es"}
+
+
+def test_calibration_is_bounded_and_the_same_again(spark):
+    rows = frame(spark, [(i, f"text number {i}", "en") for i in range(20_000)] + [(1, "text number 1", "en")] * 50)
+    kept = [rows.where(language.set_aside(rows.repartition(n), 100)).select("text").distinct() for n in (2, 7)]
+    assert kept[0].count() == 100 and sorted(kept[0].collect()) == sorted(kept[1].collect())
+
+
 def test_language_looks_at_nothing_but_the_text(spark):
     rows = language_rows(300)
     changed = [(d, t, l if zlib.crc32(str(d).encode()) % 4 != 2 else "xx") for d, t, l in rows]
@@ -154,6 +229,34 @@ def test_quality(spark, settings):
             assert abs(np.log(r.perplexity) - mean) < 1e-3
 
 
+def test_trusted_ids(spark):
+    labels = [(1, 1, 0), (2, 1, None), (3, 1, 0), (3, 0, 0), (4, 1, 0), (4, 1, 1), (5, None, 0), (6, 0, 1), (None, 1, 0), (7, 1, 0), (7, 1, 0), (8, 1, 0), (8, None, None), (9, None, 1), (9, 1, 0)]
+    found = quality.trusted_ids(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 7, 8]
+
+
+def test_quality_thresholds_against_brute_force(spark):
+    good, bad = quality_rows()
+    rnd = random.Random(21)
+    rare = [(9000 + i, prose(rnd, "es", 30), "es") for i in range(60)]
+    labels = spark.createDataFrame([(d, 1, 0) for d, _, _ in good + rare], "doc_id long, quality int, toxic int")
+    found = quality.judge(frame(spark, good + bad + rare), labels).collect()
+    held = {r.doc_id for r in spark.createDataFrame([(d,) for d, _, _ in good + rare], "doc_id long").where(quality._held_out()).collect()}
+    size = lambda n: sum(n >= c for c in quality.CLASSES)
+    cross, langs = defaultdict(list), defaultdict(list)
+    for r in found:
+        if r.doc_id in held:
+            cross[r.lang, size(r.n_chars)].append(np.log(r.perplexity))
+            langs[r.lang].append(np.log(r.perplexity))
+    high = lambda x: sorted(x)[max(0, int(np.ceil(0.995 * len(x))) - 1)]
+    apart = high([x - np.mean(langs[k]) for k in langs for x in langs[k]])
+    assert 0 < len(langs["es"]) < 40 <= len(langs["en"])
+    for r in found:
+        own = cross[r.lang, size(r.n_chars)]
+        expected = high(own) if len(own) >= 40 else high(langs[r.lang]) if len(langs[r.lang]) >= 40 else np.mean(langs[r.lang]) + apart
+        assert abs(np.log(r.threshold) - expected) < 1e-6 and r.kept == (r.perplexity <= r.threshold * (1 + 1e-12))
+
+
 def test_quality_survivors_and_missing_labels(spark):
     good, bad = quality_rows()
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
