@@ -161,11 +161,11 @@ def template_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list
     if rng.random() < 0.7:
         out += ["<header>", text(pick("h1", "p", "div"), False, 1, 5, ""), "</header>"]
     if rng.random() < 0.9:
-        out += [pick("<nav>", '<div class="menu">', '<nav class="menu">'), links(int(rng.integers(1, 9)))] + ["</nav></div>"]
+        out += [pick("<nav>", '<div class="menu">', '<nav class="menu">', "<div>", '<div role="navigation">', '<ul class="top-links"><li>'), links(int(rng.integers(1, 9)))] + ["</nav></div>"]
     out += [box(outside, n=int(rng.integers(1, 3))) for _ in range(rng.integers(0, 3))]
     if rng.random() < 0.15:
         out += ["<form>", text("label", False, 1, 5, ""), text("p", False, 2, 9), "</form>"]
-    opening, closing = pick(("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post-body">', "</div>"), ('<div class="entry">', "</div>"), ('<article class="post">', "</article>"))
+    opening, closing = pick(("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post-body">', "</div>"), ('<div class="entry">', "</div>"), ('<article class="post">', "</article>"), ('<div class="story"><section>', "</section></div>"), ('<section role="main">', "</section>"), ('<div itemprop="articleBody">', "</div>"), ('<table><tr><td class="article-text">', "</td></tr></table>"))
     out.append(opening)
     if rng.random() < 0.8:
         out.append(text("h1", True, 2, 12, ""))
@@ -179,7 +179,13 @@ def template_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list
             out.append("<ul>" + "".join(text("li", True, 1, 15) for _ in range(rng.integers(1, 5))) + "</ul>")
         elif kind < 0.92:
             out.append("<blockquote>" + text("p", True, 3, 30) + "</blockquote>")
-        elif kind < 0.96:
+        elif kind < 0.93:
+            out.append("<figure><img src=x>" + text("figcaption", True, 2, 15) + "</figure>")
+        elif kind < 0.94:
+            out.append("<table>" + "".join("<tr>" + text("th", True, 1, 3, "") + text("td", True, 1, 6, "") + "</tr>" for _ in range(rng.integers(1, 4))) + "</table>")
+        elif kind < 0.95:
+            out.append("<section><div>" + "".join(text(pick("p", "h4"), True, 1, 30) for _ in range(rng.integers(1, 4))) + "</div></section>")
+        elif kind < 0.97:
             out.append(f"<pre>{sentence(2, 12)}</pre>")
             main.append(True)
         else:
