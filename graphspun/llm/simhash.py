@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from graphspun.llm.common import kept_rows, row_key, ship, slices, written
@@ -268,9 +268,13 @@ def short_links(points: DataFrame, ratio: float) -> DataFrame:
     return less.join(points.where(F.col("shingles") <= SHORT).select(F.col("own").alias("_own"), F.col("point").alias("y")), F.col("_less") == F.col("_own")).select("x", "y")
 
 
-def in_units(rows: DataFrame, group: list[str], block: int) -> GroupedData:
-    """The rows by group; groups of more than `block` rows are dealt into blocks by their point, and each pair of blocks is a unit."""
-    crowded = written(rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks")).where("_blocks > 1"), "crowded")
+def in_units(rows: DataFrame, group: list[str], block: int, size: Column | None = None, most: int = 1 << 22) -> GroupedData:
+    """The rows by group; groups of more than `block` rows, or whose rows' `size` adds up to more than `most`, are dealt into blocks
+    by their point, and each pair of blocks is a unit."""
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))
+    if size is not None:
+        blocks = F.greatest(blocks, F.ceil(F.sum(size) / F.lit(most)))
+    crowded = written(rows.groupBy(*group).agg(blocks.alias("_blocks")).where("_blocks > 1"), "crowded")
     if crowded.isEmpty():
         return rows.groupBy(*group)
     cut = rows.join(crowded, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
@@ -331,9 +335,10 @@ def checked_links(fp: np.ndarray, sets: list[np.ndarray], within: int, ratio: fl
     return linked, forest.root[linked]
 
 
-def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingle: int, ratio: float, within: int, id_col: str, text_col: str, block: int = 1 << 12, broadcast_keys: int = 1 << 17) -> DataFrame:
+def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingle: int, ratio: float, within: int, id_col: str, text_col: str, block: int = 1 << 12, most: int = 1 << 22, broadcast_keys: int = 1 << 17) -> DataFrame:
     """Links (x, y) between the points of each group (vertex, component) whose texts share `ratio` of their shingles. Only the texts of such
-    points move, each once; the keys that find them are broadcast if they are few, and joined by a shuffle if not."""
+    points move, each once; the keys that find them are broadcast if they are few, and joined by a shuffle if not. A task has about two
+    blocks of at most `block` points and `most` shingles."""
     wanted = written(points.join(groups, F.col("point") == F.col("vertex")).select("point", "component", "fp", row_key(F.col("least.doc_id"), F.col("least.text_hash")).alias("_key")), "near-candidates")
     side = F.broadcast(wanted) if wanted.count() <= broadcast_keys else wanted
     texts = docs.select(row_key(F.col(id_col), F.xxhash64(text_col)).alias("_key"), F.col(text_col).alias("text")).join(side, "_key").select("component", "point", "fp", "text")
@@ -355,7 +360,7 @@ def verified_links(docs: DataFrame, points: DataFrame, groups: DataFrame, shingl
         return pa.table({"x": point[x], "y": point[y]})
 
     sets = written(texts.mapInArrow(hashed, "component long, point long, fp array<long>, shingles array<long>"), "shingle-sets")
-    return in_units(sets, ["component"], block).applyInArrow(link, "x long, y long")
+    return in_units(sets, ["component"], block, F.size("shingles"), most).applyInArrow(link, "x long, y long")
 
 
 def _groups(docs: DataFrame, within: int, first: int, ratio: float | None, shingle: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:

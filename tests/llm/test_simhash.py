@@ -139,9 +139,9 @@ def test_checked_links_are_those_of_all_pairs(seed):
 def test_near_texts_against_all_pairs(spark, monkeypatch):
     rows = edited(np.random.default_rng(8)) + [(9001, None), (9000, ""), (9002, "A b"), (9003, "a  B")]
     top = brute_components({i: shingles_of(t or "") for i, t in rows}, alike)
-    for small in (False, True):
-        if small:  # every group in blocks, keys by a shuffle
-            monkeypatch.setattr(simhash.verified_links, "__defaults__", (3, 0))
+    for small in (None, (3, 1 << 22, 0), (1 << 12, 40, 0)):
+        if small:  # groups in blocks by their number or by their shingles, keys by a shuffle
+            monkeypatch.setattr(simhash.verified_links, "__defaults__", small)
         found = simhash.near_texts(frame(spark, rows)).collect()
         assert {r.doc_id: r.component_id for r in found} == top
         assert {r.doc_id for r in found if r.kept} == set(top.values())
