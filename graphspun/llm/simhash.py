@@ -17,8 +17,8 @@ fingerprints link is then checked: within each of their groups, texts are linked
 bands come from the same sets, so a passage that repeats more often in one of two texts does not part them.
 
 Sizes. The sample and the number of leaves grow with the square root of the number of points, so both the
-tree, which every task holds, and a leaf grow with the square root. A leaf that near copies crowd beyond `block`
-rows is cut into blocks, and each pair of its blocks is a task of its own; so no task holds more than two.
+tree, which every task holds, and a leaf grow with the square root. A leaf that near copies crowd beyond four times the mean, or beyond `block`
+rows, is cut into blocks, and each pair of its blocks is a task of its own; so no task holds more than two.
 
 Defined results. Text null or without words: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is the one shingle. A bit that is set in exactly half of the hashes is 0. Id
@@ -268,13 +268,13 @@ def short_links(points: DataFrame, ratio: float) -> DataFrame:
     return less.join(points.where(F.col("shingles") <= SHORT).select(F.col("own").alias("_own"), F.col("point").alias("y")), F.col("_less") == F.col("_own")).select("x", "y")
 
 
-def in_units(rows: DataFrame, group: list[str], block: int, size: Column | None = None, most: int = 1 << 22) -> GroupedData:
-    """The rows by group; groups of more than `block` rows, or whose rows' `size` adds up to more than `most`, are dealt into blocks
-    by their point, and each pair of blocks is a unit."""
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))
-    if size is not None:
-        blocks = F.greatest(blocks, F.ceil(F.sum(size) / F.lit(most)))
-    crowded = written(rows.groupBy(*group).agg(blocks.alias("_blocks")).where("_blocks > 1"), "crowded")
+def in_units(rows: DataFrame, group: list[str], block: int, size: Column | None = None, most: int = 1 << 22, least: int = 1 << 12) -> GroupedData:
+    """The rows by group; groups of more than `block` rows, or of more than four times their mean but not below `least`, or whose rows'
+    `size` adds up to more than `most`, are dealt into blocks by their point, and each pair of blocks is a unit."""
+    sizes = written(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.lit(0) if size is None else size).alias("_size")), "group-sizes")
+    mean = sizes.agg(F.avg("_n")).first()[0] or 0
+    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(min(block, max(least, int(4 * mean))))), F.ceil(F.col("_size") / F.lit(most)))
+    crowded = sizes.select(*group, blocks.alias("_blocks")).where("_blocks > 1")
     if crowded.isEmpty():
         return rows.groupBy(*group)
     cut = rows.join(crowded, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
