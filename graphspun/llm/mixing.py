@@ -6,7 +6,7 @@ sizes' running total reaches it; the document on the border is taken if that com
 
 Defined results. Text null: size 0. Source null: a source of its own, sorted last. Id null: drawn like
 any other. Equal keys: by id, then by the text's hash. Repeated rows: each counts; rows alike in id and text have one key. All sizes 0, or an
-empty table: targets 0, nothing taken. A quality that is null counts as 1, one that is not positive as 1e-9. Other columns are not looked at.
+empty table: targets 0, nothing taken. A quality that is null or not a number counts as 1; others are held within 1e-9 and 1e9. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
 
     # 52 bits of a hash as a number in (0, 1), the same in every run.
     draw = ((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_text_hash")), 12)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = rows.withColumn("_key", -F.log(draw) / F.greatest(F.coalesce(F.col("_quality"), F.lit(1.0)), F.lit(1e-9)))
+    weight = F.coalesce(F.nanvl("_quality", F.lit(1.0)), F.lit(1.0))
+    keyed = rows.withColumn("_key", -F.log(draw) / F.least(F.greatest(weight, F.lit(1e-9)), F.lit(1e9)))
     # A key's logarithm is that of an exponential number less that of a weight: whatever the weights, no stretch of length 1 / cuts of it holds more than 0.37 / cuts of the rows.
     keyed = keyed.withColumn("_slice", F.floor(F.log("_key") * F.lit(float(cuts))).cast("int"))
     part = before_in_group(keyed, "source", "_slice", [F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("_text_hash")], "size", "_before")

@@ -95,6 +95,15 @@ def test_selection_against_brute_force(spark):
     assert {r.doc_id: r.taken for r in mixing.mix(df, quality=df["q"]).collect()} == expected
 
 
+def test_odd_weights(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -3.0, 1e300, 1e-300]
+    df = spark.createDataFrame([(i, "w " * 10, "a" if i < 200 else "b", odd[i % len(odd)]) for i in range(240)], "doc_id long, text string, source string, q double")
+    found = mixing.mix(df, quality=df["q"]).collect()
+    assert len(found) == 240 and all(0 <= r.taken <= 30 for r in found)
+    partly = {r.doc_id: r.epochs for r in found if r.doc_id < 200}
+    assert min(partly[i] for i in partly if i % 8 in (2, 6)) >= max(partly[i] for i in partly if i % 8 in (3, 4, 5, 7))
+
+
 def test_slices_are_even_whatever_the_weights(spark):
     from pyspark.sql import functions as F
 
