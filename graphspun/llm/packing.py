@@ -77,7 +77,7 @@ def cut_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
                 ids = encode(t.as_py() or "") + end
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])
-                row = hash((d, n[-1], crcs[-1][-1]))
+                row = hash((str(d), n[-1], crcs[-1][-1]))
                 spread.append(0 if d is not None and not seen[row] else task << 32 | seen[row])
                 seen[row] += 1
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(spread, pa.int64())], names=["doc_id", "doc_tokens", "crcs", "spread"])
