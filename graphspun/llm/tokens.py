@@ -30,7 +30,7 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: All characters here are lower-cased one by one, are left alone by NFC in any company, and are letters or numbers for both libraries alike.
 _LATIN = re.compile(r"[\t-\r -~¡-±´-¸º»¿-įıĴ-ſ]*")
 #: What stands apart from letters there: shortened endings, digits, runs of signs. The signs are spelled out; categories are slow.
-_LATIN_SIGN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷]+")
+_LATIN_SIGN = re.compile(r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷]+)")
 
 
 class TokenizerFile:
@@ -124,7 +124,7 @@ def _words(spec: dict) -> Callable[[str], np.ndarray | None] | None:
             return None
         for c in "\t\n\x0b\f\r":
             text = text.replace(c, " ")
-        return run(_LATIN_SIGN.sub(r" \g<0> ", text.lower()) + " ")
+        return run(" ".join(_LATIN_SIGN.split(text.lower())) + " ")
 
     return ids
 
