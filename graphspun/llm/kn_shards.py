@@ -13,7 +13,8 @@ size is broadcast or comes to the driver. Lists and lots are bounded; `units` of
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -97,18 +98,28 @@ def _look_up(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     return logp(levels, keys & ((1 << BITS * len(levels)) - 1))
 
 
+@cache
+def _press(level: int) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdCompressor(level=level).compress
+
+
+@cache
+def _unpress() -> Callable[[bytes], bytes]:
+    return zstandard.ZstdDecompressor().decompress
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as the bytes of their differences, first bytes first."""
-    return zstandard.compress(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return _press(1)(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    flat = np.frombuffer(_unpress()(raw), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(flat.T).view("<i8").ravel())
 
 
 def _texts(column: pa.ChunkedArray) -> list[str]:
-    return [zstandard.decompress(x.as_py()).decode() for x in column]
+    return [_unpress()(x.as_py()).decode() for x in column]
 
 
 def _by_lang(langs: list) -> Iterator[tuple[str | None, np.ndarray]]:
@@ -135,7 +146,7 @@ def score(rows: DataFrame, model: Sharded, by: str | None = None, lot_chars: int
     known = frozenset(langs)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = _press(3)
         for b in batches:
             seen: dict[tuple, int] = {}  # rows of a batch that are alike in all columns go as one, with how many they are
             times = np.zeros(b.num_rows, np.int32)

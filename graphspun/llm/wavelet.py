@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,16 @@ _WORDS = BLOCK // 64
 _BELOW = np.array([(1 << i) - 1 for i in range(65)], np.uint64)
 
 
+@cache
+def _press() -> Callable[[bytes], bytes]:
+    return zstandard.ZstdCompressor(level=1).compress
+
+
+@cache
+def _unpress() -> Callable[[bytes], bytes]:
+    return zstandard.ZstdDecompressor().decompress
+
+
 class Plane:
     """The bits of one level: 64-bit words, lowest bit first, and the ones before each block and in all."""
 
@@ -54,11 +65,11 @@ class Plane:
         return cls(np.concatenate(([0], np.cumsum(np.bitwise_count(words).sum(1, dtype=np.int64)))).astype(np.uint32), None, words)
 
     def packed(self) -> list[bytes]:
-        return [zstandard.compress(self.words[at : at + FRAME].tobytes(), 1) for at in range(0, len(self.words), FRAME)]
+        return [_press()(self.words[at : at + FRAME].tobytes()) for at in range(0, len(self.words), FRAME)]
 
     def _load(self, frames: np.ndarray) -> None:
         for f in frames[self.missing[frames]].tolist():
-            self.words[f * FRAME : (f + 1) * FRAME] = np.frombuffer(zstandard.decompress(self.frames[f]), "<u8").reshape(-1, _WORDS)
+            self.words[f * FRAME : (f + 1) * FRAME] = np.frombuffer(_unpress()(self.frames[f]), "<u8").reshape(-1, _WORDS)
             self.missing[f] = False
 
     def _blocks(self, blocks: np.ndarray) -> np.ndarray:
@@ -179,7 +190,7 @@ def pack_shard(doc_ids: pa.Array, counts: list[int], ids: np.ndarray, end_id: in
     table = pa.table({"doc_id": doc_ids, "n": pa.array(counts, pa.int64())})
     with pa.ipc.new_stream(out, table.schema) as stream:
         stream.write_table(table)
-    head = zstandard.compress(out.getvalue().to_pybytes(), 1)
+    head = _press()(out.getvalue().to_pybytes())
     frames = [f for p in matrix.planes for f in p.packed()]
     before = b"".join(p.before.astype("<u4").tobytes() for p in matrix.planes)
     return _MARK + struct.pack("<6Q", len(doc_ids), matrix.n, matrix.bits, end_id, len(head), 4 * len(frames)) + head + before + np.array(list(map(len, frames)), "<u4").tobytes() + b"".join(frames)
@@ -191,7 +202,7 @@ def open_shard(shard: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix, int]:
         raise ValueError("not a shard")
     _, n, bits, end_id, head, table = struct.unpack_from("<6Q", shard, 4)
     at, blocks = 52 + head, n // BLOCK + 1
-    rows = pa.ipc.open_stream(zstandard.decompress(shard[52:at])).read_all()
+    rows = pa.ipc.open_stream(_unpress()(shard[52:at])).read_all()
     before = np.frombuffer(shard, "<u4", bits * (blocks + 1), at).reshape(bits, -1)
     at += before.nbytes
     ends = at + table + np.cumsum(np.frombuffer(shard, "<u4", table // 4, at), dtype=np.int64)
@@ -213,7 +224,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             for t in b.column(1):
                 four = np.append(np.frombuffer(ids_of(t.as_py() or ""), "<u4"), np.uint32(end_id)).astype("<u4")
                 crc.append(zlib.crc32(four.tobytes()))
-                ids.append(zstandard.compress((four.astype("<u2") if four.max() < 1 << 16 else four).tobytes(), 1) + (b"2" if four.max() < 1 << 16 else b"4"))
+                short = four.max() < 1 << 16
+                ids.append(_press()((four.astype("<u2") if short else four).tobytes()) + (b"2" if short else b"4"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "crc", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +240,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             kind = b.column(0).type
             for d, x in zip(b.column(0), b.column(1)):
                 x = x.as_py()
-                ids.append(np.frombuffer(zstandard.decompress(x[:-1]), f"<u{x[-1:].decode()}"))
+                ids.append(np.frombuffer(_unpress()(x[:-1]), f"<u{x[-1:].decode()}"))
                 names.append(d.as_py())
                 held += len(ids[-1])
                 if held >= shard_tokens:
