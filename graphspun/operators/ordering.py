@@ -15,13 +15,16 @@ def nulls_last(name: str, descending: bool = False) -> Column:
     return F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
 
 
-def numbered(df: DataFrame, by: str, tie: Sequence[str], descending: bool = False, out: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, by: str, tie: Sequence[str], descending: bool = False, out: str = "pos", small: int = 16 << 20) -> DataFrame:
     """Adds the row's position from 1 in the order of `by`, nulls last, then `tie`.
 
-    Not by a window over everything, which is one task: rows are dealt into ranges of (by, tie), sorted and written once to the shared
-    folder with their place in the range. The rows before a range are the sum of the ranges' counts, of which there are as many as partitions.
+    Rows that Spark estimates at no more than `small` bytes, a task's worth, are numbered by one window. More are not: they are dealt
+    into ranges of (by, tie), sorted and written once to the shared folder with their place in the range. The rows before a range are
+    the sum of the ranges' counts, of which there are as many as partitions.
     """
     order = [nulls_last(by, descending), *[F.col(t) for t in tie]]
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= small:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranges = written(ranges, "positions")  # the id is the partition's number, then 33 bits of the row's
     counts = ranges.groupBy(F.shiftright("_at", 33).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))

@@ -202,7 +202,8 @@ def test_chapter_islands_are_those_of_whole_groups(spark):
 def test_positions(spark, values, descending):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that few rows lie in several ranges, too
-    found = ordering.numbered(df, "v", ["i"], descending).orderBy("pos").collect()
+    found = ordering.numbered(df, "v", ["i"], descending, small=0).orderBy("pos").collect()
+    assert ordering.numbered(df, "v", ["i"], descending, small=1 << 40).orderBy("pos").collect() == found
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r.pos for r in found] == list(range(1, len(values) + 1))
     assert [(r.v, r.i) for r in found] == sorted(((v, i) for i, v in enumerate(values)), key=lambda x: (x[0] is None, (-x[0] if descending else x[0]) if x[0] is not None else 0, x[1]))
