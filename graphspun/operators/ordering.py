@@ -34,6 +34,25 @@ def numbered(df: DataFrame, by: str, tie: Sequence[str], descending: bool = Fals
     return ranges.join(offsets, F.shiftright("_at", 33) == F.col("_of")).withColumn(out, pos).drop("_at", "_of", "_before")
 
 
+def numbered_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "pos", small: int = 16 << 20, parts: int | None = None) -> DataFrame:
+    """Adds the row's position from 1 in its group, in `order`, nulls last; for groups of any size, the columns of `group` not null.
+
+    Few rows are numbered by one window a group. More are dealt into ranges of (group, order) as in numbered(); the rows of a group before
+    a range are the sum of its counts there. There are as many counts as ranges and groups; few of them are broadcast.
+    """
+    sort = [*[F.col(g) for g in group], *[nulls_last(o) for o in order]]
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= small:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*[nulls_last(o) for o in order])).cast("long"))
+    ranges = (df.repartitionByRange(parts, *sort) if parts else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+    ranges = written(ranges.withColumn("_at", F.monotonically_increasing_id()), "positions").withColumn("_of", F.shiftright("_at", 33))
+    counts = ranges.groupBy("_of", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_of", *group, (before - F.col("_from") + 1).alias("_shift"))
+    if offsets.limit((1 << 17) + 1).count() <= 1 << 17:
+        offsets = F.broadcast(offsets)
+    return ranges.join(offsets, ["_of", *group]).withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).drop("_at", "_of", "_shift")
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """`limit` rows from `offset` on; a limit of -1 is all the rest. The order must end in a unique column."""
     rest = df.orderBy(*order).offset(offset) if offset else df.orderBy(*order)
