@@ -51,6 +51,16 @@ def test_period_rows_are_the_nested_pages(g, doubled):  # noqa: F811
     assert listed(D.period_rows(g)) == listed(nested) and listed(D.period_rows(doubled)) == listed(nested)
 
 
+@pytest.mark.parametrize("slug", [None, "adam"])
+def test_profiles_are_the_nested_pages(g, doubled, slug):  # noqa: F811
+    books = F.transform("books", lambda b: F.concat(b["title"], F.lit(" ("), F.array_join(F.transform(b["writers"], lambda w: w["name"]), ", "), F.lit(")")))
+    nested = D.person_pages(g, slug).select("slug", "parents", "children", "partners", "groups", "birth", "death", books, F.size("timeline"))
+    for x in (g, doubled):
+        pages = D.person_profiles(x, slug)
+        assert listed(pages.select("slug", "parents", "children", "partners", "groups", "birth", "death", "books", "n_events")) == listed(nested)
+    assert {r.slug: len(r.books) for r in D.person_profiles(g, slug, writers=False).collect()} == {r.slug: len(r.books) for r in D.person_pages(g, slug).collect()}
+
+
 def test_positions_in_groups_by_ranges(spark):
     rows = spark.range(3000).select((F.col("id") % 7 % 3).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("b"), "id")
     pos = F.row_number().over(Window.partitionBy("a").orderBy(F.col("b").asc_nulls_last(), "id"))
@@ -58,7 +68,7 @@ def test_positions_in_groups_by_ranges(spark):
         assert listed(numbered_within(rows, ["a"], ["b", "id"], small=small, parts=9)) == listed(rows.withColumn("pos", pos))
 
 
-@pytest.mark.parametrize("name", ["period_page"])
+@pytest.mark.parametrize("name", ["period_page", "person_page"])
 def test_no_list_of_events_is_collected(spark, name):
     """Of an entity of any size: its events, visitors or verses are rows or counts; a book's writers do not move with its readers."""
     text = plan(spark, name)
