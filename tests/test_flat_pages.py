@@ -51,6 +51,12 @@ def test_period_rows_are_the_nested_pages(g, doubled):  # noqa: F811
     assert listed(D.period_rows(g)) == listed(nested) and listed(D.period_rows(doubled)) == listed(nested)
 
 
+def test_person_timeline_rows_are_the_nested_pages(g, doubled):  # noqa: F811
+    rows = D.person_timeline_rows(g)
+    nested = D.person_pages(g).select("slug", F.posexplode("timeline").alias("at", "e")).select("slug", F.col("at") + 1, *[F.col(f"e.{c}") for c in rows.columns[2:]])
+    assert listed(rows) == listed(nested) and listed(D.person_timeline_rows(doubled)) == listed(nested)
+
+
 @pytest.mark.parametrize("slug", [None, "adam"])
 def test_profiles_are_the_nested_pages(g, doubled, slug):  # noqa: F811
     books = F.transform("books", lambda b: F.concat(b["title"], F.lit(" ("), F.array_join(F.transform(b["writers"], lambda w: w["name"]), ", "), F.lit(")")))
@@ -68,7 +74,7 @@ def test_positions_in_groups_by_ranges(spark):
         assert listed(numbered_within(rows, ["a"], ["b", "id"], small=small, parts=9)) == listed(rows.withColumn("pos", pos))
 
 
-@pytest.mark.parametrize("name", ["period_page", "person_page"])
+@pytest.mark.parametrize("name", ["period_page", "person_page", "person_page_timeline"])
 def test_no_list_of_events_is_collected(spark, name):
     """Of an entity of any size: its events, visitors or verses are rows or counts; a book's writers do not move with its readers."""
     text = plan(spark, name)
