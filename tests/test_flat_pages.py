@@ -67,6 +67,16 @@ def test_profiles_are_the_nested_pages(g, doubled, slug):  # noqa: F811
     assert {r.slug: len(r.books) for r in D.person_profiles(g, slug, writers=False).collect()} == {r.slug: len(r.books) for r in D.person_pages(g, slug).collect()}
 
 
+def test_place_rows_are_the_nested_pages(g, doubled):  # noqa: F811
+    rows = D.place_timeline_rows(g)
+    nested = D.place_pages(g).select("slug", F.posexplode("timeline").alias("at", "e")).select("slug", F.col("at") + 1, *[F.col(f"e.{c}") for c in rows.columns[2:]])
+    assert listed(rows) == listed(nested) and listed(D.place_timeline_rows(doubled)) == listed(nested)
+    ends = [f(F.col(x))[y] for x, y in (("visitors", "other"), ("verses", "osis_ref"), ("timeline", "event_id")) for f in (lambda c: F.get(c, F.lit(0)), lambda c: F.try_element_at(c, F.lit(-1)))]
+    nested = D.place_pages(g).select("slug", "zoom", *ends, *[F.size(x) for x in ("visitors", "verses", "timeline")])
+    flat = ["slug", "zoom", *[f"{e}_{x}.{y}" for x, y in (("visitors", "other"), ("verses", "osis_ref"), ("timeline", "event_id")) for e in ("first", "last")], *[f"n_{x}" for x in ("visitors", "verses", "timeline")]]
+    assert listed(D.place_summaries(g).select(*flat)) == listed(nested) and listed(D.place_summaries(doubled).select(*flat)) == listed(nested)
+
+
 def test_positions_in_groups_by_ranges(spark):
     rows = spark.range(3000).select((F.col("id") % 7 % 3).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("b"), "id")
     pos = F.row_number().over(Window.partitionBy("a").orderBy(F.col("b").asc_nulls_last(), "id"))
@@ -74,7 +84,7 @@ def test_positions_in_groups_by_ranges(spark):
         assert listed(numbered_within(rows, ["a"], ["b", "id"], small=small, parts=9)) == listed(rows.withColumn("pos", pos))
 
 
-@pytest.mark.parametrize("name", ["period_page", "person_page", "person_page_timeline", "person_sections"])
+@pytest.mark.parametrize("name", ["period_page", "person_page", "person_page_timeline", "person_sections", "place_page"])
 def test_no_list_of_events_is_collected(spark, name):
     """Of an entity of any size: its events, visitors or verses are rows or counts; a book's writers do not move with its readers."""
     text = plan(spark, name)
