@@ -84,7 +84,7 @@ def test_positions_in_groups_by_ranges(spark):
         assert listed(numbered_within(rows, ["a"], ["b", "id"], small=small, parts=9)) == listed(rows.withColumn("pos", pos))
 
 
-@pytest.mark.parametrize("name", ["period_page", "person_page", "person_page_timeline", "person_sections", "place_page"])
+@pytest.mark.parametrize("name", ["period_page", "person_page", "person_page_timeline", "person_sections", "place_page", "place_page_timeline"])
 def test_no_list_of_events_is_collected(spark, name):
     """Of an entity of any size: its events, visitors or verses are rows or counts; a book's writers do not move with its readers."""
     text = plan(spark, name)
