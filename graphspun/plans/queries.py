@@ -16,7 +16,7 @@ from graphspun.operators import search as S
 from graphspun.operators.ordering import group_ends, has_more, numbered
 from graphspun.operators.runs import chapter_islands, island_label, islands
 from graphspun.plans.pages import QUERIES as PAGES
-from graphspun.sources.tables import constant, read, url_parameter
+from graphspun.sources.tables import constant, parts, read, url_parameter
 
 
 def _text(*parts) -> F.Column:
@@ -28,8 +28,9 @@ def _slug(name: str, key: str) -> F.Column:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """event_participant: the different suppliers of each order."""
-    return read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    """event_participant: the different suppliers of each order, dealt by order; partitions grow in number with the lines, not in size."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    return lines.repartition(parts(lines), "l_orderkey").distinct()
 
 
 def site_title(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +103,8 @@ def lookup_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exclude_self(spark: SparkSession, d: str) -> DataFrame:
-    return N.others(_edges(spark, d), "l_suppkey", "l_orderkey").groupBy("l_suppkey", "other").agg(F.count(F.lit(1)).alias("shared_events"))
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    return N.shared(lines, "l_suppkey", "l_orderkey", parts(lines)).withColumnRenamed("n", "shared_events")
 
 
 def exists_related(spark: SparkSession, d: str) -> DataFrame:

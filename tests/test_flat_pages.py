@@ -84,10 +84,24 @@ def test_positions_in_groups_by_ranges(spark):
         assert listed(numbered_within(rows, ["a"], ["b", "id"], small=small, parts=9)) == listed(rows.withColumn("pos", pos))
 
 
-@pytest.mark.parametrize("name", ["period_page", "person_page", "person_page_timeline", "person_sections", "place_page", "place_page_timeline"])
+def test_shared_is_the_count_of_others(spark):
+    edge = spark.sql("SELECT id % 13 * (id % 3) AS who, CAST(id / 5 AS INT) AS what FROM range(900) UNION ALL SELECT CAST(NULL AS BIGINT), 3 UNION ALL SELECT 1, NULL UNION ALL SELECT 2, NULL")
+    edge = edge.union(edge)
+    assert listed(N.shared(edge, "who", "what", 3)) == listed(N.others(edge, "who", "what").groupBy("who", "other").count())
+
+
+@pytest.mark.parametrize("name", ["period_page", "person_page", "person_sections", "person_page_timeline", "place_page", "place_page_timeline"])
 def test_no_list_of_events_is_collected(spark, name):
     """Of an entity of any size: its events, visitors or verses are rows or counts; a book's writers do not move with its readers."""
     text = plan(spark, name)
     nested = r"\((?:[^()\n]|\((?:[^()\n]|\((?:[^()\n]|\([^()\n]*\))*\))*\))*\)"  # up to four deep
     lists = re.findall(r"collect_(?:set|list)" + nested, text)
     assert not [x for x in lists if re.search(r"\b(event_id|verse_id|id|person_name|writers|passage|sort_key)#", x)]
+
+
+@needs
+@pytest.mark.parametrize("name", ["exclude_self"])
+def test_pairs_are_dealt_into_more_parts_as_the_lines_grow(spark, conf, name):
+    conf("spark.sql.shuffle.partitions", "1")
+    counts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan(spark, name, LARGER))]
+    assert counts and max(counts) > 1
