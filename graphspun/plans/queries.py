@@ -170,9 +170,11 @@ def self_edge(spark: SparkSession, d: str) -> DataFrame:
     """Partners: people of the same nation who share an event."""
     people = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nations = people.select(F.col("s_suppkey").alias("_of"), "s_nationkey")
-    members = N.along(_edges(spark, d).withColumn("person", F.col("l_suppkey")), "person", nations, "_of").where("s_nationkey is not null").drop("_of")
-    pairs = N.others(members, "l_suppkey", "l_orderkey", "s_nationkey").select("l_suppkey", "other").distinct()
-    rows = N.along(pairs, "other", people.select(F.col("s_suppkey").alias("mate"), F.col("s_name").alias("name")), "mate").withColumnRenamed("l_suppkey", "of")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_suppkey").alias("person"))
+    n = parts(lines)
+    members = N.along_few(lines, "person", nations, "_of").where("s_nationkey is not null").drop("_of").repartition(n, "l_orderkey", "s_nationkey")  # by all that pairs share, or the join would deal again
+    pairs = N.others(members, "l_suppkey", "l_orderkey", "s_nationkey").select("l_suppkey", "other").repartition(n, "l_suppkey").distinct()
+    rows = N.along_few(pairs, "other", people.select(F.col("s_suppkey").alias("mate"), F.col("s_name").alias("name")), "mate").withColumnRenamed("l_suppkey", "of")
     out = N.expand(people.select("s_suppkey", "s_name"), "s_suppkey", rows, "of", ["mate"], ["mate", "name"], "partners")
     return out.select("s_suppkey", "s_name", C.names(F.col("partners")).alias("partners"), F.size("partners").cast("long").alias("n_partners"))
 

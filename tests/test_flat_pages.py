@@ -100,7 +100,7 @@ def test_no_list_of_events_is_collected(spark, name):
 
 
 @needs
-@pytest.mark.parametrize("name", ["exclude_self"])
+@pytest.mark.parametrize("name", ["exclude_self", "self_edge"])
 def test_pairs_are_dealt_into_more_parts_as_the_lines_grow(spark, conf, name):
     conf("spark.sql.shuffle.partitions", "1")
     counts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan(spark, name, LARGER))]
