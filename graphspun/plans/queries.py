@@ -129,21 +129,28 @@ def period_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verses(spark: SparkSession, d: str) -> DataFrame:
-    """event_verse: the lines of an order as references Book.Chapter.Verse."""
+    """event_verse: the lines of an order as references Book.Chapter.Verse, dealt by order."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return _references(lines.repartition(parts(lines), "l_orderkey"))
+
+
+def _references(lines: DataFrame) -> DataFrame:
     chapter = (F.col("l_linenumber") / 3).cast("int") + 1
     ref = _text("Ord", F.col("l_orderkey") % 7, ".", chapter, ".", F.col("l_linenumber"))
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    return rows.select("l_orderkey", F.col("l_linenumber").alias("verse_id"), ref.alias("osis_ref"), _text("Ord ", chapter, ":", F.col("l_linenumber")).alias("title"))
+    return lines.distinct().select("l_orderkey", F.col("l_linenumber").alias("verse_id"), ref.alias("osis_ref"), _text("Ord ", chapter, ":", F.col("l_linenumber")).alias("title"))
 
 
 def person_timeline(spark: SparkSession, d: str) -> DataFrame:
     """The timeline of one person: events in order, with year, passage, and the other people's names."""
     me = 7
-    edges = _edges(spark, d)
-    mine = N.some(_events(spark, d), "event", edges.where(F.col("l_suppkey") == me), "l_orderkey")
-    people = N.along(edges.where(F.col("l_suppkey") != me), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey")
-    out = N.expand(mine, "event", people, "l_orderkey", ["name", "s_suppkey"], ["name", "s_suppkey"], "people", narrow=True)
-    out = N.expand(out, "event", N.some(_verses(spark, d), "l_orderkey", mine, "event"), "l_orderkey", ["verse_id"], ["verse_id", "osis_ref", "title"], "verses")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    n = parts(lines)
+    keys = lines.where(F.col("l_suppkey") == me).select("l_orderkey").distinct()
+    mine = N.some_few(_events(spark, d), "event", keys, "l_orderkey", n)
+    lines = N.some_few(lines, "l_orderkey", keys.withColumnRenamed("l_orderkey", "key"), "key", n)  # before all else, so that what follows is as large as the timeline
+    people = N.along_few(lines.where(F.col("l_suppkey") != me).select("l_orderkey", "l_suppkey"), "l_suppkey", read(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey")
+    out = N.expand(mine, "event", people.repartition(n, "l_orderkey"), "l_orderkey", ["name", "s_suppkey"], ["name", "s_suppkey"], "people")
+    out = N.expand(out, "event", _references(lines.select("l_orderkey", "l_linenumber").repartition(n, "l_orderkey")), "l_orderkey", ["verse_id"], ["verse_id", "osis_ref", "title"], "verses")
     first, last = F.get("verses", F.lit(0)), F.try_element_at("verses", F.lit(-1))
     out = out.select("event", "sort_key", "year", C.range_label(first["title"], first["osis_ref"], last["osis_ref"]).alias("passage"), C.names(F.col("people")).alias("people"), F.size("people").cast("long").alias("n_people"))
     return numbered(out, "sort_key", ["event"]).drop("sort_key")

@@ -105,3 +105,10 @@ def test_pairs_are_dealt_into_more_parts_as_the_lines_grow(spark, conf, name):
     conf("spark.sql.shuffle.partitions", "1")
     counts = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan(spark, name, LARGER))]
     assert counts and max(counts) > 1
+
+
+def test_a_timeline_meets_its_keys_before_all_else(spark, conf, monkeypatch):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr("graphspun.plans.queries.numbered", lambda df, *a: df.withColumn("pos", F.lit(1)))  # which may write the rows
+    text = plan(spark, "person_timeline")
+    assert len(re.findall(r"BroadcastHashJoin [^\n]*LeftSemi", text)) >= 2 and not re.search(r"SortMergeJoin [^\n]*LeftSemi", text)
